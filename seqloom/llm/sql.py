@@ -12,5 +12,34 @@ FROM n
 """
 
 
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+s AS (SELECT r, unnest(generate_series(1, len(w) - 2)) AS p, w FROM w WHERE len(w) >= 3),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS n FROM s),
+u AS (SELECT r, count(DISTINCT q) AS n_repeat_words
+      FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
+c AS (SELECT w.r, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN u ON w.r = u.r),
+f AS (SELECT *, (n_words < 50)::INT AS f1, (100 * n_repeat_words > 50 * n_words)::INT AS f2,
+        (10 * n_symbols > word_chars)::INT AS f3, (3 * n_dup_lines > n_lines)::INT AS f4 FROM c),
+rules AS (SELECT host, k, n, f FROM (
+        SELECT host, count(*) AS n, sum(f1) AS s1, sum(f2) AS s2, sum(f3) AS s3, sum(f4) AS s4 FROM f GROUP BY host)
+      CROSS JOIN LATERAL (VALUES (1, s1), (2, s2), (3, s3), (4, s4)) AS v(k, f)),
+m AS (SELECT k, sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS h FROM rules GROUP BY k),
+v AS (SELECT m.k, any_value(m.m) AS m,
+        (sum(rules.n * pow(rules.f / rules.n - m.m, 2)) - any_value(m.m * (1 - m.m) * (m.h - 1))) / any_value(m.n) AS b
+      FROM rules JOIN m ON rules.k = m.k GROUP BY m.k),
+prior AS (SELECT k, m, CASE WHEN b > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / b - 1)) ELSE 1000.0 END AS s FROM v),
+verdict AS (SELECT host, bool_or((f + m * s) / (n + s) > 0.8) AS host_rejected FROM rules JOIN prior ON rules.k = prior.k GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 + f2 > 0 AS base_failed, host_rejected,
+       f1 + f2 = 0 AND NOT host_rejected AS kept
+FROM f JOIN verdict ON f.host IS NOT DISTINCT FROM verdict.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return {"op5_exact_dedup": OP5, "op10_quality_rules": OP10}
