@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import SPACE, WORD, free_names, materialise, whole_text
+from seqloom.llm.shared import SPACE, free_names, materialise, whole_text
 
 RULES = ("short", "repetitive", "symbols", "lines")
 #: White space as characters, for trim.

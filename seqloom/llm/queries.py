@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.exact_dedup import exact_dedup
+from seqloom.llm.mixing import mix
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.shared import documents
 from seqloom.session import ship_package
@@ -17,9 +18,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_exact_dedup, op8_mixing, op10_quality_rules)}

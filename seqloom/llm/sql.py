@@ -41,5 +41,38 @@ FROM f JOIN verdict ON f.host IS NOT DISTINCT FROM verdict.host
 """
 
 
+OP8 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 11))::BIGINT AS drawn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, greatest(1, ceil(count(*) / 4096.0))::BIGINT AS shards,
+        (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+-- the level x of the water: sum of least(3 size, x weight) is all words
+lv AS (SELECT max(x) AS x FROM (
+        SELECT ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * i.source_size) FROM s i WHERE i.source_size / i.weight < o.source_size / o.weight), 0))
+               / (SELECT sum(i.weight) FROM s i WHERE i.source_size / i.weight >= o.source_size / o.weight) AS x, 3 * o.source_size / o.weight AS r FROM s o)
+      WHERE x <= r),
+t AS (SELECT s.*, least(3.0 * source_size, x * weight) AS target FROM s CROSS JOIN lv),
+b AS (SELECT greatest(1, sum(source_size)::BIGINT // greatest(4096 * count(*), 256 * sum(shards))::BIGINT)::BIGINT AS block,
+        sum(target) AS words FROM t),
+sq AS (SELECT source, weight, target / (2 * k + 1) AS q, k FROM t, b, unnest(generate_series(0, (3 * source_size // block)::BIGINT - 1)) AS g(k)),
+sr AS (SELECT source, row_number() OVER (ORDER BY q DESC, weight, source NULLS LAST, k) AS n FROM sq),
+sb AS (SELECT source, count(*) AS blocks FROM sr, b WHERE n <= round(words / block) GROUP BY source),
+p AS (SELECT d.*, drawn % shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+h AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM p GROUP BY source, shard),
+hq AS (SELECT source, shard, shard_size / (2 * k + 1) AS q, k FROM h, b, unnest(generate_series(0, (3 * shard_size // block)::BIGINT - 1)) AS g(k)),
+hr AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS n FROM hq),
+hb AS (SELECT hr.source, shard, count(*) AS quota FROM hr JOIN sb ON hr.source IS NOT DISTINCT FROM sb.source WHERE n <= blocks GROUP BY ALL),
+r AS (SELECT h.source, h.shard, shard_size, coalesce(quota, 0) * block AS words,
+        block * (('0x' || substr(md5('42:start:' || coalesce(h.source, 'null') || ':' || h.shard), 1, 11))::BIGINT
+          % greatest(1, ceil(shard_size / block))::BIGINT) AS start
+      FROM h CROSS JOIN b LEFT JOIN hb ON h.source IS NOT DISTINCT FROM hb.source AND h.shard = hb.shard),
+w AS (SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY drawn, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM p)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+    ((start + words) // shard_size * size + least(greatest((start + words) % shard_size - a, 0), size))
+    - (start // shard_size * size + least(greatest(start % shard_size - a, 0), size)) END::BIGINT AS taken
+FROM w JOIN r ON w.source IS NOT DISTINCT FROM r.source AND w.shard = r.shard JOIN t ON w.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op10_quality_rules": OP10}
+    return {"op5_exact_dedup": OP5, "op8_mixing": OP8, "op10_quality_rules": OP10}
