@@ -10,9 +10,15 @@ from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import mix
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.shared import documents
+from seqloom.llm.simhash import near_duplicates
 from seqloom.session import ship_package
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return exact_dedup(documents(spark, sf_dir))
@@ -27,4 +33,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_simhash, op5_exact_dedup, op8_mixing, op10_quality_rules)}
