@@ -11,9 +11,21 @@ from seqloom.llm.mixing import mix
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.shared import documents
 from seqloom.llm.simhash import near_duplicates
+from seqloom.llm.token_counts import token_counts
 from seqloom.session import ship_package
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_counts(documents(spark, sf_dir), tokenizer_path())
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(documents(spark, sf_dir))
@@ -33,4 +45,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_exact_dedup, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op4_simhash, op5_exact_dedup, op8_mixing, op10_quality_rules)}
