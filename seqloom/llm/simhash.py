@@ -27,15 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.components import stars
+from seqloom.llm.components import spanning, stars
 from seqloom.llm.shared import byte_texts, free_names, materialise
 
 RADIUS = 2
 SEED = 42
 SHINGLE = 3
-#: A shard holds about so many fingerprints while there are few, and at most so many when there are very many.
-SHARD_LEAST, SHARD_MOST, SHARDS = 4096, 1 << 20, 1024
-SAMPLE_PER_SHARD = 32
+#: There are about SHARDS shards, more only beyond SHARD_MOST fingerprints a shard, fewer only under SHARD_LEAST. Their
+#: number, not the input, decides how often a fingerprint is routed; a shard goes on splitting in memory.
+SHARD_LEAST, SHARD_MOST, SHARDS = 256, 1 << 20, 64
+SAMPLE_PER_SHARD = 64
 #: Leaves compared directly; branches of which a split keeps more than this share inside are dense.
 LEAF, DENSE = 128, 0.85
 _FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
@@ -74,7 +75,7 @@ def distances(points: np.ndarray, vantage) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).astype(np.int64)
 
 
-def split(points: np.ndarray, tries: int = 6):
+def split(points: np.ndarray, tries: int = 12):
     """(vantage, radius, share inside) that divides ``points`` best, or None where they are dense."""
     best = None
     for k in range(tries):
@@ -100,7 +101,7 @@ def fit(sample: np.ndarray, share: float, most: float) -> tuple:
             return ("shard", next(numbers))
         found = split(points)
         if found is None:
-            return ("dense", next(numbers), int(size // most) + 1)
+            return ("dense", next(numbers), int(len(_FLIPS) * size // most) + 1)
         vantage, radius, _ = found
         d = distances(points, vantage)
         return ("node", np.uint64(vantage), radius, grow(points[d <= radius + RADIUS]), grow(points[d > radius]))
@@ -132,21 +133,6 @@ def route(tree: tuple, points: np.ndarray) -> list[tuple[int, np.ndarray, np.nda
     return out
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that edges a-b reach from each of n."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = np.minimum(label, label[label])
-        while (label != (further := label[label])).any():
-            label = further
-        if (label == before).all():
-            return label
-
-
 def by_keys(points: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of points linked by equal keys: neighbours in the order of keys."""
     order = np.argsort(keys, kind="stable")
