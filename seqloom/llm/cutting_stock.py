@@ -13,7 +13,10 @@ from __future__ import annotations
 import numpy as np
 
 GAP = 5e-4
-_REFACTOR = 100
+#: The search also ends when as many steps as there are sizes make the plan shorter by less than this share.
+STALL = 1e-4
+#: Steps after which the inverse is computed anew.
+_REFACTOR = 500
 
 
 def _price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -40,24 +43,51 @@ def _price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, a few hundred rows at most."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if pivot != k:
+            work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        rows = np.flatnonzero(others)
+        work[rows] -= others[rows, None] * work[k]
+    return work[:, m:]
+
+
 def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often each is used, fractional; every demand is met exactly."""
+    """Patterns (columns) and how often each is used, fractional.
+
+    Small different amounts are added to the demands while searching, so that ties between them cannot make it cycle;
+    what the patterns then hold of the real demands is left to :func:`plan`.
+    """
+    real, demand = demand, demand + 1e-4 * ((np.arange(len(demand)) + 1) * 0.6180339887 % 1)
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ demand
+    used = (inverse * demand).sum(axis=1)
+    before = used.sum()
     for step in range(1, rounds + 1):
+        if step % m == 0:
+            if used.sum() > before * (1 - STALL):
+                break
+            before = used.sum()
         value, pattern = _price(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + gap:
             break
-        move = inverse @ pattern
+        some = np.flatnonzero(pattern)  # few, so that no library's threads are woken for a product
+        move = (inverse[:, some] * pattern[some]).sum(axis=1)
         grows = move > 1e-9
         ratio = np.full(m, np.inf)
         ratio[grows] = np.maximum(used[grows], 0) / move[grows]
         out = int(ratio.argmin())
         basis[:, out] = pattern
         if step % _REFACTOR == 0:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[out] / move[out]
             inverse -= np.outer(move, row)
@@ -65,8 +95,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
         used = used - ratio[out] * move
         used[out] = ratio[out]
         if step % _REFACTOR == 0:
-            used = inverse @ demand
-    return basis, np.maximum(np.linalg.solve(basis, demand), 0)
+            used = (inverse * demand).sum(axis=1)
+    return basis, np.maximum((_inverse(basis) * real).sum(axis=1), 0)
 
 
 def _best_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple, int]:
@@ -101,7 +131,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     whole = np.floor(used + 1e-7).astype(np.int64)
     counts = patterns.round().astype(np.int64)
     rest = demand - counts @ whole
-    while (rest < 0).any():  # rounding upwards by 1e-7 took one too many
+    while (rest < 0).any():  # a pattern was taken once too often
         k = int(np.flatnonzero(rest < 0)[0])
         column = int(np.flatnonzero((counts[k] > 0) & (whole > 0))[0])
         whole[column] -= 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import mix
+from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.shared import documents
 from seqloom.llm.simhash import near_duplicates
@@ -36,6 +37,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -45,4 +51,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash, op5_exact_dedup, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op10_quality_rules)}

@@ -11,7 +11,7 @@ Neither normalisation, pieces, merges nor special strings reach across such a p,
 first chunk (whose end may cut a word) and what follows in the second (whose start may cut one, before p). Where no such
 p exists the overlap is doubled; once it is the whole chunk, the first chunk grows instead, up to the whole document.
 
-Shorter documents are encoded whole, word by word (:mod:`seqloom.llm.wordbpe`). Null texts count as empty: 0 bytes and
+Shorter documents are encoded whole (:mod:`seqloom.llm.wordbpe`). Null texts count as empty: 0 bytes and
 tokens. Repeated rows are counted alike. One task holds one batch of texts, never a group.
 """
 
@@ -20,9 +20,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from seqloom.llm.shared import byte_texts
-from seqloom.llm.wordbpe import WordBpe
+from seqloom.llm.wordbpe import WordBpe, marked
 
 HUGE, CHUNK, OVERLAP = 65_536, 16_384, 256
 _SPACE = " \t\n\x0b\x0c\r"
@@ -86,17 +86,25 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, huge: int = HUGE
     def counted(batches):
         words = WordBpe.of(path)
         for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            # at least so many bytes; most texts are settled without decoding them
-            long = {k: t for k, text in enumerate(texts) if len(text) > huge and len(t := text.decode()) > huge}
-            tokens = [len(ids) // 4 for ids in words.encode([b"" if k in long else t for k, t in enumerate(texts)])]
-            chunks = [1] * len(texts)
-            for k, text in long.items():
-                ids, chunks[k] = spliced(words.library, text, chunk, overlap)
-                tokens[k] = len(ids)
+            tokens = [len(ids) // 4 for ids in words.encode_batch(batch)]
+            chunks = [1] * len(tokens)
+            for k, text in enumerate(batch.column("huge").to_pylist()):
+                if text is not None:
+                    ids, chunks[k] = spliced(words.library, text, chunk, overlap)
+                    tokens[k] = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in ([len(t) for t in texts], tokens)), pa.array([n > limit for n in tokens], type=pa.bool_()), pa.array(chunks, type=pa.int64())],
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, type=pa.int64()), pa.array([n > limit for n in tokens], type=pa.bool_()), pa.array(chunks, type=pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(counted, SCHEMA)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    is_huge = F.length(text) > huge
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        F.when(is_huge, text).alias("huge"),
+        F.when(is_huge, F.lit("")).otherwise(text).alias("text"),
+    )
+    prepared = sized.withColumn("marked", marked(F.col("text")))
+    prepared = prepared.withColumn("text", F.when(F.col("marked").isNull(), F.col("text")))
+    return prepared.mapInArrow(counted, SCHEMA)

@@ -1,10 +1,13 @@
 """Token ids of a lower-casing word BPE, equal to what the ``tokenizers`` library gives for its file, but faster.
 
 Such a tokenizer (NFC, white space to one space, lower case, split into letters, single numbers and other characters,
-then merges inside a piece) never looks across ASCII white space, so a text's ids are those of its words in turn. Each
-distinct word is encoded once and remembered. Words made only of characters below U+0250 are put through the merges with
-``tiktoken``: its merges choose the adjacent pair of the lowest rank, as the library's do, over a table of ranks in
-which a marker byte closes a word. All other words, and those that may hold a special string, go to the library itself.
+then merges inside a piece) never looks across ASCII white space, so a text's ids are those of its words in turn.
+
+Plain texts, made only of ASCII white space and printable characters below U+0250, are lower-cased and cut into pieces by
+Spark's own expressions (:func:`marked`), which close each piece with a marker byte; ``tiktoken`` then runs the merges:
+like the library it joins the adjacent pair of the lowest rank, here over a table of ranks in which the marker closes a
+word. In other texts (:meth:`WordBpe.encode`) plain words are remembered once encoded this way, and only words with other
+characters, or that may hold a special string, go to the library itself.
 """
 
 from __future__ import annotations
@@ -16,8 +19,12 @@ from itertools import chain
 
 import numpy as np
 import tiktoken
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from seqloom.llm.shared import byte_texts
+
 _END = "\x01"
 _LINE = "\n"
 #: What the library alone encodes: anything but printable characters below U+0250 (without U+0130, whose lower case is
@@ -25,8 +32,17 @@ _LINE = "\n"
 _FOREIGN = re.compile("[^\n!-~\u00a1-\u012f\u0131-\u024f]|<\\|")
 _NUMBER = "\\d\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECE = re.compile(f"('s|'t|'re|'ve|'m|'ll|'d|[^\\W_{_NUMBER}]+|[{_NUMBER}]|(?:[^\\s\\w]|_)+)")
+_SPACES = "\\x20\\x09-\\x0D"
+#: Java's patterns. A class of what is foreign is found many times faster than the complement of what is not.
+_NOT_PLAIN = "[\\x00-\\x08\\x0e-\\x1f\\x7f-\u00a0\u0130\u0250-\\x{10ffff}]"
+#: In lower-cased plain text white space and letters (all from U+00C0 on but two), and pieces of anything else.
+_QUIET = f"{_SPACES}a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\uffff"
+_DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_OTHER_PIECE = f"(?=[^{_QUIET}])(?:'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_QUIET}{_DIGITS}]+)"
+#: Ends a document among joined ones; no plain text has this character.
+_STOP = "\x02"
 #: Words remembered at most; beyond that the memory starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -36,6 +52,22 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def marked(text: Column) -> Column:
+    """A plain text in lower case with markers around all pieces but letters; null for other texts.
+
+    Every piece is then followed by a marker or by white space.
+    """
+    plain = ~text.rlike(_NOT_PLAIN) & ~text.contains("<|")
+    return F.when(plain, F.concat(F.regexp_replace(F.lower(text), _OTHER_PIECE, f"{_END}$0{_END}"), F.lit(" ")))
+
+
+def for_words(docs: DataFrame) -> DataFrame:
+    """doc_id, the marked text and, where that is null, the text itself, for :meth:`WordBpe.encode_batch`."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), marked(text).alias("marked"))
+    return both.select("doc_id", "marked", F.when(F.col("marked").isNull(), F.col("text")).alias("text"))
+
+
 class WordBpe:
     """Encodes with the file at ``path``; keeps one memory of words for each process."""
 
@@ -47,34 +79,26 @@ class WordBpe:
             model = json.load(f)
         if model["model"]["end_of_word_suffix"] != "</w>" or model["post_processor"] is not None:
             raise ValueError(f"{path} is not a word BPE with word ends")
-        letters, end = _byte_of_letter(), _END.encode()
-        ranks, ids = {}, np.zeros(256 + len(model["model"]["vocab"]), dtype=np.uint32)
+        letters, ends = _byte_of_letter(), (_END.encode(), b" ")
+        # ranks: a last byte with either end, then single bytes, then the merges in turn, closed ones with either end
+        ranks, ids = {}, np.zeros(768 + 2 * len(model["model"]["vocab"]), dtype=np.uint32)
         for b in range(256):
-            ranks[bytes([b]) + end] = b
-            ranks[bytes([b])] = 256 + b
-        single = {}
+            ranks |= {bytes([b]) + ends[0]: b, bytes([b]) + ends[1]: 256 + b, bytes([b]): 512 + b}
+        self.closes = np.zeros(len(ids), dtype=bool)
+        self.closes[:512] = True
         for token, number in model["model"]["vocab"].items():
             closed = token.endswith("</w>") and len(token) > 4
             raw = bytes(letters[c] for c in (token[:-4] if closed else token))
-            if len(raw) == 1:
-                single[raw + end if closed else raw] = number
-            else:
-                ranks[raw + end if closed else raw] = 256 + number
-        for raw, number in single.items():
-            ids[ranks[raw]] = number
-        for raw, rank in ranks.items():
-            if len(raw.removesuffix(end)) > 1:
-                ids[rank] = rank - 256
+            versions = [raw + e for e in ends] if closed else [raw]
+            if len(raw) > 1:
+                ranks |= {v: 768 + 2 * number + k for k, v in enumerate(versions)}
+            own = [ranks[v] for v in versions]
+            ids[own] = number
+            self.closes[own] = closed
         self.ids = ids
-        self.line = 256 + ord(_LINE)
-        self.closes = np.zeros(len(ids), dtype=bool)
-        self.closes[[rank for raw, rank in ranks.items() if raw.endswith(end) and len(raw) > 1]] = True
-        self.merges = tiktoken.Encoding("words", pat_str=f"[^{_END}{_LINE}]+{_END}|{_LINE}", mergeable_ranks=ranks, special_tokens={})
-        self.forget()
-
-    def forget(self) -> None:
+        self.line = 512 + ord(_LINE)
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^{_END}{_SPACES}]+[{_END} ]|{_LINE}", mergeable_ranks=ranks, special_tokens={})
         self.memory: dict[bytes, bytes] = {}
-        self.met = bytearray(1 << 22)  # by hash: words that were encoded once; the second time they are remembered
 
     @classmethod
     def of(cls, path: str) -> WordBpe:
@@ -82,64 +106,76 @@ class WordBpe:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _cut(self, words: list[bytes], marked: str, closing: bool) -> dict[bytes, bytes]:
-        """Ids of ``words``, which ``marked`` holds in turn, each ended by a closing token or else by a line."""
+    def _cut(self, marked: str, closing: bool) -> list[bytes]:
+        """Ids of the words that ``marked`` holds in turn, each ended by a closing token or else by a line."""
         ranks = self.merges.encode_to_numpy(marked)
-        ends = self.closes[ranks] if closing else ranks == self.line
-        stops = (4 * (np.flatnonzero(ends) + closing)).tolist()
-        flat, out, at = self.ids[ranks].tobytes(), {}, 0
-        for word, stop in zip(words, stops, strict=True):
-            out[word] = flat[at:stop]
-            at = stop if closing else stop + 4
-        return out
-
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
+        ends = np.flatnonzero(self.closes[ranks] if closing else ranks == self.line)
+        flat = self.ids[ranks].tobytes()
+        stops = (4 * (ends + closing)).tolist()
+        starts = [0, *(stops[:-1] if closing else [s + 4 for s in stops[:-1]])]
+        return [flat[a:b] for a, b in zip(starts, stops, strict=True)]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
         joined = b"\n".join(words).decode()
         if _FOREIGN.search(joined):
-            foreign = [w for w in words if _FOREIGN.search(w.decode())]
-            encoded = self.library.encode_batch_fast([w.decode() for w in foreign], add_special_tokens=False)
-            out = {w: np.array(e.ids, dtype=np.uint32).tobytes() for w, e in zip(foreign, encoded, strict=True)}
-            words = [w for w in words if w not in out]
-            joined = b"\n".join(words).decode()
-        lower = joined.lower().split(_LINE) if words else []
+            foreign = [_FOREIGN.search(w.decode()) is not None for w in words]
+            encoded = self.library.encode_batch_fast([w.decode() for w, f in zip(words, foreign, strict=True) if f], add_special_tokens=False)
+            others = [w for w, f in zip(words, foreign, strict=True) if not f]
+            theirs, ours = iter(encoded), iter(self._encode_words(others) if others else [])
+            return [np.array(next(theirs).ids, dtype=np.uint32).tobytes() if f else next(ours) for f in foreign]
+        lower = joined.lower().split(_LINE)
         letters = [x.isalpha() for x in lower]
         one = [x for x, is_one in zip(lower, letters, strict=True) if is_one]  # a single piece each
-        if one:
-            out |= self._cut([w for w, is_one in zip(words, letters, strict=True) if is_one], _END.join(one) + _END, True)
         many = [x for x, is_one in zip(lower, letters, strict=True) if not is_one]
-        if many:
-            marked = _PIECE.sub(f"\\1{_END}", _LINE.join(many)) + _LINE
-            out |= self._cut([w for w, is_one in zip(words, letters, strict=True) if not is_one], marked, False)
-        return out
+        ones = iter(self._cut(_END.join(one) + _END, True) if one else [])
+        manies = iter(self._cut(_PIECE.sub(f"\\1{_END}", _LINE.join(many)) + _LINE, False) if many else [])
+        return [next(ones) if is_one else next(manies) for is_one in letters]
 
     def _values(self, words: list[bytes]) -> list[bytes]:
         values = list(map(self.memory.get, words))
         missing = [i for i, v in enumerate(values) if v is None]
-        if not missing:
-            return values
-        found = self._encode_words(list({words[i]: None for i in missing}))
-        for i in missing:
-            values[i] = found[words[i]]
-        if len(self.memory) + len(found) > MEMORY:
-            self.forget()
-        met, mask = self.met, len(self.met) - 1
-        for word, value in found.items():
-            at = hash(word) & mask
-            if met[at] and len(word) <= 64:
-                self.memory[word] = value
-            else:
-                met[at] = 1
+        if missing:
+            new = [words[i] for i in missing]
+            found = self._encode_words(new)
+            for i, value in zip(missing, found, strict=True):
+                values[i] = value
+            if len(self.memory) > MEMORY:
+                self.memory.clear()
+            self.memory.update(zip(new, found, strict=True))
         return values
 
+    def encode_marked(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts prepared by :func:`marked`, as :meth:`encode` gives them; about 2 MB of texts at a time."""
+        part, size = [], 0
+        for k, text in enumerate(texts):
+            part.append(text)
+            size += len(text)
+            if size > 2_000_000 or k + 1 == len(texts):
+                joined = f"{_STOP}{_END}".join(part) + _STOP + _END
+                for space in "\t\n\x0b\x0c\r":
+                    joined = joined.replace(space, " ")
+                ranks = self.merges.encode_to_numpy(joined)
+                flat, at = self.ids[ranks].tobytes(), 0
+                for stop in (4 * np.flatnonzero(ranks == ord(_STOP))).tolist():
+                    yield flat[at:stop]
+                    at = stop + 4
+                part, size = [], 0
+
+    def encode_batch(self, batch) -> Iterator[bytes]:
+        """The ids of each row of an Arrow batch of :func:`for_words`, in its order."""
+        prepared = batch.column("marked").to_pylist()
+        ours = self.encode_marked([m for m in prepared if m is not None])
+        theirs = self.encode([t or b"" for t, m in zip(byte_texts(batch.column("text")), prepared, strict=True) if m is None])
+        return (next(theirs if m is None else ours) for m in prepared)
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers; about 200,000 words are looked up at a time."""
+        """The ids of each text, as little-endian unsigned 32-bit numbers; about 100,000 words are looked up at a time."""
         part: list[list[bytes]] = []
         size = 0
         for k, text in enumerate(texts):
             part.append(text.split())
             size += len(part[-1])
-            if size > 200_000 or k + 1 == len(texts):
+            if size > 100_000 or k + 1 == len(texts):
                 values, at = self._values(list(chain.from_iterable(part))), 0
                 for words in part:
                     yield b"".join(values[at : at + len(words)])
