@@ -10,6 +10,7 @@ from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import quality_rules
+from seqloom.llm.secrets import secret_spans
 from seqloom.llm.shared import documents
 from seqloom.llm.simhash import near_duplicates
 from seqloom.llm.token_counts import token_counts
@@ -27,6 +28,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(documents(spark, sf_dir))
@@ -51,4 +57,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op10_quality_rules)}
