@@ -14,6 +14,7 @@ from seqloom.llm.secrets import secret_spans
 from seqloom.llm.shared import documents
 from seqloom.llm.simhash import near_duplicates
 from seqloom.llm.token_counts import token_counts
+from seqloom.llm.warc import archived
 from seqloom.session import ship_package
 
 
@@ -52,9 +53,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(documents(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op9_warc, op10_quality_rules)}

@@ -74,5 +74,15 @@ FROM w JOIN r ON w.source IS NOT DISTINCT FROM r.source AND w.shard = r.shard JO
 """
 
 
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, h, strlen(h)::BIGINT AS n, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n < 1000 OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op8_mixing": OP8, "op10_quality_rules": OP10}
+    return {"op5_exact_dedup": OP5, "op8_mixing": OP8, "op9_warc": OP9, "op10_quality_rules": OP10}
