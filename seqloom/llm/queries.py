@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.exact_dedup import exact_dedup
+from seqloom.llm.html_text import page_texts
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import quality_rules
@@ -34,6 +35,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return page_texts(documents(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(documents(spark, sf_dir))
@@ -62,4 +68,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_html_text, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op9_warc, op10_quality_rules)}
