@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.llm.classifier import quality_scores
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.html_text import page_texts
 from seqloom.llm.mixing import mix
@@ -55,6 +56,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -68,4 +74,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_html_text, op4_simhash, op5_exact_dedup, op6_packing, op8_mixing, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_html_text, op4_simhash, op5_exact_dedup, op6_packing, op7_quality_classifier, op8_mixing, op9_warc, op10_quality_rules)}
