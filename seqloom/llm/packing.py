@@ -26,7 +26,7 @@ from seqloom.llm.shared import materialise
 from seqloom.llm.wordbpe import WordBpe, for_words
 
 LENGTH, END_ID, QUANTUM = 2048, 1, 8
-BUCKET, BUCKETS = 4096, 16_384
+BUCKET, BUCKETS = 512, 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
