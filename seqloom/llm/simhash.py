@@ -68,7 +68,8 @@ def fingerprints(column: str = "text"):
         values = np.fromiter(map(fingerprint, byte_texts(texts)), dtype=np.uint64, count=len(texts))
         return pa.array(values.view(np.int64))
 
-    return of_texts(F.col(column))
+    # dear: marked so that the optimizer neither repeats it nor moves filters below it
+    return of_texts.asNondeterministic()(F.col(column))
 
 
 def distances(points: np.ndarray, vantage) -> np.ndarray:
@@ -235,11 +236,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each component (one row, also where ids repeat or are null).
 
-    The columns of ``docs``, whatever their names, are unchanged.
+    Only ids and fingerprints take part in the search. Whole rows are then reduced to one a fingerprint, in each task
+    before they are dealt, and those of fingerprints that do not stay are dropped; no copy of the texts is written. The
+    columns of ``docs``, whatever their names, are unchanged.
     """
-    fp, row_id = free_names(docs.columns, "fp", "row_id")
-    signed = materialise(docs.withColumn(fp, fingerprints()).withColumn(row_id, F.monotonically_increasing_id()), "signed-documents")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(row_id).alias("row"))
-    labels = _labels(signed.select(F.col(fp).alias("fp"), rank.alias("b")), F.min("b"))
-    stay = materialise(labels.select(F.col("best.row").alias(row_id)).distinct(), "representatives")
-    return signed.join(stay, row_id, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    fp, row = free_names(docs.columns, "fp", "row")
+    fps = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), fingerprints().alias("fp")), "signed")
+    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("fp"))
+    labels = _labels(fps.select("fp", rank.alias("b")), F.min("b"))
+    stay = labels.where("best.fp = fp").select(F.col("fp").alias(fp))
+    # an inner join with unique keys, which unlike a semi-join is not moved below the reduction
+    rows = docs.select(fingerprints().alias(fp), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
+    first = F.struct(F.col(row)["doc_id"].isNull(), F.col(row)["doc_id"], F.xxhash64(F.col(row)["text"]))
+    return rows.groupBy(fp).agg(F.min_by(row, first).alias(row)).join(stay, fp).select(f"{row}.*")
