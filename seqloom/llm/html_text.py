@@ -296,9 +296,9 @@ def render(root: Node, visible: bool = True, depth: int = 0) -> list[str]:
     while work:
         what, node, seen, kept = work.pop()
         if what == "leave":
-            out.block(node.tag in SPACED)
             if node.tag in LISTS:
                 counters.pop()
+            out.block(node.tag in SPACED and not (node.tag in LISTS and counters))
             if node.tag in ("li", "dd", "blockquote"):
                 out.indents.pop()
                 out.marker = ""

@@ -68,7 +68,8 @@ def apportion(df: DataFrame, group: list[str], size: str, seats: str, cap: str,
     No row gets more than ``cap``. Let x be a row's exact share and r the rows of its group. The divisor that gives all
     seats lies within a factor 1 ± r/seats of size/x, so a row's seats lie within x(1 ± (r+1)/seats) ± 2; only quotients of that
     band are compared, about three a row, and the seats below the band are given outright. Where caps bind, fewer than
-    ``seats`` may be given: at most one block a shard is lost.
+    ``seats`` may be given: at most one block a shard is lost. ``df`` has no columns named rows, total, share, slack,
+    low, high, open, k or given.
     """
     g = Window.partitionBy(*group)
     rows, total = F.count(F.lit(1)).over(g), F.sum(size).over(g)

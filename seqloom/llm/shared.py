@@ -1,56 +1,16 @@
-"""What several operators need: the shared folder, byte-exact word rules and Arrow helpers."""
+"""What several operators need: byte-exact word rules, names that do not clash, Arrow helpers, the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of every contract here, as the inside of a regular expression's character class.
-SPACE = r"\x20\x09-\x0D"
-#: A maximal run of other characters is a word.
-WORD = rf"[^{SPACE}]+"
-
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a folder of this session is made instead.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="seqloom-shared-")
-    return _OWN_DIRS[app]
+from seqloom.session import fresh_path, materialise, shared_dir
 
+__all__ = ["SPACE", "byte_texts", "documents", "free_names", "fresh_path", "materialise", "shared_dir", "whole_text"]
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/seqloom-{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage: losing executors later costs nothing that was done before.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Spark's own file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: The white space of every contract here, as the inside of a regular expression's character class.
+SPACE = r"\x20\x09-\x0D"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
