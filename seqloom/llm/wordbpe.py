@@ -41,6 +41,8 @@ _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _OTHER_PIECE = f"(?=[^{_QUIET}])(?:'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_QUIET}{_DIGITS}]+)"
 #: Ends a document among joined ones; no plain text has this character.
 _STOP = "\x02"
+#: A special string that no plain text has: without any, the search for the next one stops at every character.
+_NEVER = "\x03\x03"
 #: Words remembered at most; beyond that the memory starts anew.
 MEMORY = 250_000
 
@@ -97,7 +99,7 @@ class WordBpe:
             self.closes[own] = closed
         self.ids = ids
         self.line = 512 + ord(_LINE)
-        self.merges = tiktoken.Encoding("words", pat_str=f"[^{_END}{_SPACES}]+[{_END} ]|{_LINE}", mergeable_ranks=ranks, special_tokens={})
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^{_END}{_SPACES}]+[{_END} ]|{_LINE}", mergeable_ranks=ranks, special_tokens={_NEVER: len(ids)})
         self.memory: dict[bytes, bytes] = {}
 
     @classmethod
@@ -108,7 +110,7 @@ class WordBpe:
 
     def _cut(self, marked: str, closing: bool) -> list[bytes]:
         """Ids of the words that ``marked`` holds in turn, each ended by a closing token or else by a line."""
-        ranks = self.merges.encode_to_numpy(marked)
+        ranks = self.merges.encode_to_numpy(marked, disallowed_special=())
         ends = np.flatnonzero(self.closes[ranks] if closing else ranks == self.line)
         flat = self.ids[ranks].tobytes()
         stops = (4 * (ends + closing)).tolist()
@@ -154,7 +156,7 @@ class WordBpe:
                 joined = f"{_STOP}{_END}".join(part) + _STOP + _END
                 for space in "\t\n\x0b\x0c\r":
                     joined = joined.replace(space, " ")
-                ranks = self.merges.encode_to_numpy(joined)
+                ranks = self.merges.encode_to_numpy(joined, disallowed_special=())
                 flat, at = self.ids[ranks].tobytes(), 0
                 for stop in (4 * np.flatnonzero(ranks == ord(_STOP))).tolist():
                     yield flat[at:stop]
