@@ -21,11 +21,11 @@ def _quality(length: Column, seed: Column) -> Column:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample, name, seq, qual: windows of documents, some with an N, some too short."""
+    """sample, name, seq, qual: all windows of documents, some with an N, some too short."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", encoded(F.col("text")).alias("s"))
     d = d.withColumn("L", F.when(F.col("doc_id") % 25 == 0, 8 + F.col("doc_id") % 3).otherwise(18 + F.col("doc_id") % 8).cast("int"))
     d = d.where(F.length("s") >= F.col("L"))
-    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("cast(least(40, length(s) div L) - 1 as int)"))))
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("cast(length(s) div L - 1 as int)"))))
     w = F.substring(F.col("s"), F.col("i") * F.col("L") + 1, F.col("L"))
     d = d.withColumn("w", F.when(F.col("doc_id") % 2 == 1, reverse_complement(w)).otherwise(w))
     with_n = F.concat(F.substring("w", 1, 4), F.lit("N"), F.substring(F.col("w"), F.lit(6), F.length("w")))
