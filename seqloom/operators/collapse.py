@@ -96,12 +96,35 @@ def stats(reads: DataFrame) -> DataFrame:
     return reads.agg(F.count(F.lit(1)).alias("n_reads"), F.max(F.length("s")).cast("long").alias("max_length"), F.countDistinct(kept).alias("n_sequences"))
 
 
-def prefix_stats(sequences: DataFrame, deepest: int = 12) -> DataFrame:
-    """depth, children, nodes: how many prefixes of reversed sequences have so many one-base extensions."""
+def prefix_nodes(sequences: DataFrame) -> DataFrame:
+    """depth, prefix, children: every prefix of reversed sequences, to their full lengths, and its one-base extensions."""
     back = sequences.select(F.reverse("s").alias("back"))
-    each = back.select(F.explode(F.sequence(F.lit(0), F.least(F.length("back"), F.lit(deepest + 1)))).alias("depth"), "back")
+    each = back.select(F.explode(F.sequence(F.lit(0), F.length("back"))).alias("depth"), "back")
     nodes = each.select("depth", F.expr("substring(back, 1, depth)").alias("prefix")).distinct()
     above = nodes.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.expr("substring(prefix, 1, depth - 1)").alias("prefix"))
     children = above.groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("children"))
-    found = nodes.where(F.col("depth") <= deepest).join(children, ["depth", "prefix"], "left")
-    return found.groupBy(F.col("depth").cast("long").alias("depth"), F.coalesce("children", F.lit(0)).alias("children")).agg(F.count(F.lit(1)).alias("nodes"))
+    return nodes.join(children, ["depth", "prefix"], "left").select("depth", "prefix", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def prefix_stats(sequences: DataFrame) -> DataFrame:
+    """depth, children, nodes: how many prefixes of reversed sequences have so many one-base extensions."""
+    return prefix_nodes(sequences).groupBy(F.col("depth").cast("long").alias("depth"), "children").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def branch_lengths(sequences: DataFrame) -> DataFrame:
+    """length, branches: how many leaves and branching prefixes have a run of so many one-child prefixes right above."""
+    nodes = materialise(prefix_nodes(sequences).where("children <> 1"), "branches")
+    above = nodes.where("children > 1").select(F.col("prefix").alias("above"))
+    each = nodes.select("depth", "prefix", F.explode(F.sequence(F.lit(0), F.greatest(F.col("depth") - 1, F.lit(0)))).alias("at"))
+    each = each.withColumn("above", F.expr("substring(prefix, 1, at)")).join(above, "above", "left_semi").where("at < depth")
+    nearest = each.groupBy("prefix").agg(F.max("at").alias("nearest"))
+    length = F.col("depth") - F.coalesce(F.col("nearest") + 1, F.lit(0))
+    return nodes.join(nearest, "prefix", "left").groupBy(length.cast("long").alias("length")).agg(F.count(F.lit(1)).alias("branches"))
+
+
+def read_nodes(sequences: DataFrame) -> DataFrame:
+    """One row: nodes, read_nodes: prefixes below the root, and those that are a whole sequence."""
+    back = sequences.select(F.reverse("s").alias("back"))
+    each = back.select(F.explode(F.sequence(F.lit(1), F.length("back"))).alias("depth"), "back")
+    nodes = each.groupBy(F.expr("substring(back, 1, depth)").alias("prefix")).agg(F.max(F.expr("depth = length(back)")).alias("ends"))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count(F.when(F.col("ends"), 1)).alias("read_nodes"))

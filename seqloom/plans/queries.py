@@ -78,6 +78,14 @@ def prefix_stats(spark, sf_dir):
     return collapse.prefix_stats(_sequences(spark, sf_dir))
 
 
+def branch_lengths(spark, sf_dir):
+    return collapse.branch_lengths(_sequences(spark, sf_dir))
+
+
+def read_nodes(spark, sf_dir):
+    return collapse.read_nodes(_sequences(spark, sf_dir))
+
+
 def genome_contigs(spark, sf_dir):
     return fixtures.contigs(spark, sf_dir)
 
@@ -180,7 +188,7 @@ def fastq_scan(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         normalize, revcomp, kmer_code, filter_length, read_stats, collapse_counts, collapse_quality, collapse_names, triplet_counts, low_complexity,
-        low_complexity_f3, collapsed_dump, prefix_stats, genome_contigs, sam_header, map_reads_e0, best_stratum, nhits_raw, too_many_hits, hit_positions,
+        low_complexity_f3, collapsed_dump, prefix_stats, branch_lengths, read_nodes, genome_contigs, sam_header, map_reads_e0, best_stratum, nhits_raw, too_many_hits, hit_positions,
         hits_dedup, hit_index, mapq_flag, cigar, cigar_single, sam_lines, sam_unified, sam_text, fastq_scan,
     )
     return {f.__name__: f for f in plain} | {f"map_e{e}": _at(e) for e in range(3)}

@@ -1,10 +1,13 @@
 """Whole inputs: nothing of a text, a sequence or a source is left out."""
 
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 
+from seqloom.operators import collapse
 from seqloom.plans import queries, sql
 from seqloom.sources import fixtures
 
@@ -38,3 +41,24 @@ def test_whole_texts_equal_sql_without_its_cap(spark, sf_dir, name):
     want = con.execute(sql.oracle_sql()[name].replace("least(40, length(s) // l)", "length(s) // l"))
     got = queries.queries()[name](spark, sf_dir).select(*(c[0] for c in want.description))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_prefixes_to_full_length(spark):
+    r = random.Random(12)
+    texts = {"".join(r.choice("ACGT"[: r.randint(1, 4)]) for _ in range(r.randint(9, 26))) for _ in range(150)}
+    texts |= {t[k:] for t in list(texts)[:20] for k in (1, 4) if len(t) - k >= 9}  # reads that end inside others
+    for own in (texts, {"ACGTACGTAC"}, {"ACGTACGTAC", "GTACGTAC"}):
+        nodes = {t[::-1][:d] for t in own for d in range(len(t) + 1)}
+        children = {x: sum(x + b in nodes for b in "ACGT") for x in nodes}
+        runs = Counter()
+        for x in nodes:
+            if children[x] != 1:
+                run = 0
+                while run < len(x) and children[x[: len(x) - run - 1]] == 1:
+                    run += 1
+                runs[run] += 1
+        df = spark.createDataFrame([(t,) for t in own], "s string")
+        assert {tuple(g)[:2]: g["nodes"] for g in collapse.prefix_stats(df).collect()} == Counter((len(x), children[x]) for x in nodes)
+        assert dict(map(tuple, collapse.branch_lengths(df).collect())) == runs
+        assert tuple(collapse.read_nodes(df).first()) == (len(nodes) - 1, len(own))
+    assert collapse.branch_lengths(df.limit(0)).count() == 0 and tuple(collapse.read_nodes(df.limit(0)).first()) == (0, 0)
