@@ -9,6 +9,10 @@ shards of a source by their words, no shard over three times its words. A shard'
 ring of words, on which its quota of blocks begins at a seeded block boundary. How often a document's words are passed
 follows in closed form from its place on the ring, so nothing is exploded, and no window holds more than a shard.
 
+A source whose target is three times its words takes no part in that: its documents are passed three times, however few
+blocks it has. The other sources have over a thousand blocks each. Where a source's shards are below ``SHARD_LEAST`` blocks
+on average, its words are dealt to them in smaller blocks.
+
 Ties (equal hashes, repeated rows) are ordered by doc_id and size; rows equal in both are interchangeable. Reruns agree,
 whatever the partitioning. Empty texts and empty sources take 0 words; an empty table gives no rows.
 """
@@ -26,6 +30,8 @@ REPEATS = 3
 BLOCKS_PER_SOURCE = 4096
 BLOCKS_PER_SHARD = 256
 SHARD_DOCS = 4096
+#: Blocks that a source's shard of average size has at least.
+SHARD_LEAST = 64
 SEED = 42
 
 
@@ -111,11 +117,17 @@ def taken_words(sizes: DataFrame, rows: DataFrame, seed: int, shard_docs: int) -
     sources = sources.withColumn("shards", F.greatest(F.ceil(F.col("docs") / F.lit(shard_docs)), F.lit(1)).cast("long"))
     total = sources.agg(F.sum("source_size").alias("words"), F.count(F.lit(1)).alias("sources"), F.sum("shards").alias("shards")).first()
     block = max(1, (total["words"] or 0) // max(1, BLOCKS_PER_SOURCE * total["sources"], BLOCKS_PER_SHARD * (total["shards"] or 0)))
+    sources = sources.withColumn("whole", F.col("target") >= REPEATS * F.col("source_size"))
+    unit = F.least(F.lit(block), F.greatest(F.floor(F.col("source_size") / (SHARD_LEAST * F.col("shards"))), F.lit(1)))
+    sources = sources.withColumn("unit", unit.cast("long"))
     everywhere = Window.partitionBy("all")
-    sources = sources.withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(everywhere) / F.lit(block)).cast("long"))
+    whole = sources.where("whole").withColumn("blocks", F.lit(0).cast("long"))
+    sources = sources.where("not whole").withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(everywhere) / F.lit(block)).cast("long"))
     sources = sources.withColumn("cap", F.floor(REPEATS * F.col("source_size") / F.lit(block)).cast("long"))
     sources = apportion(sources, ["all"], "target", "seats", "cap", "blocks", ["weight", F.col("source").asc_nulls_last()])
-    sources = materialise(sources.select(F.col("source").alias("of"), "source_size", "target", "blocks", "shards"), "source-blocks")
+    sources = sources.withColumn("blocks", F.when(F.col("unit") < block, F.round(F.col("target") / F.col("unit")).cast("long")).otherwise(F.col("blocks")))
+    sources = sources.select(*whole.columns).unionAll(whole)
+    sources = materialise(sources.select(F.col("source").alias("of"), "source_size", "target", "blocks", "shards", "unit", "whole"), "source-blocks")
 
     def placed(df: DataFrame) -> DataFrame:
         joined = df.join(sources.select("of", "shards"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -123,11 +135,11 @@ def taken_words(sizes: DataFrame, rows: DataFrame, seed: int, shard_docs: int) -
 
     shards = placed(sizes).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(sources.drop("shards"), F.col("source").eqNullSafe(F.col("of")))
-    shards = shards.withColumn("cap", F.floor(REPEATS * F.col("shard_size") / F.lit(block)).cast("long"))
+    shards = shards.withColumn("cap", F.floor(REPEATS * F.col("shard_size") / F.col("unit")).cast("long"))
     shards = apportion(shards, ["source"], "shard_size", "blocks", "cap", "quota", ["shard"])
-    ring = F.greatest(F.ceil(F.col("shard_size") / F.lit(block)), F.lit(1)).cast("long")
-    shards = shards.withColumn("words", F.col("quota") * block)
-    shards = shards.withColumn("start", block * (_hash(F.lit(seed), F.lit("start"), F.col("source"), F.col("shard")) % ring))
+    ring = F.greatest(F.ceil(F.col("shard_size") / F.col("unit")), F.lit(1)).cast("long")
+    shards = shards.withColumn("words", F.when(F.col("whole"), REPEATS * F.col("shard_size")).otherwise(F.col("quota") * F.col("unit")))
+    shards = shards.withColumn("start", F.col("unit") * (_hash(F.lit(seed), F.lit("start"), F.col("source"), F.col("shard")) % ring))
     shards = materialise(shards.select("of", F.col("shard").alias("of_shard"), "shard_size", "words", "start", "source_size", "target"), "quotas")
 
     seeded = Window.partitionBy("source", "shard").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

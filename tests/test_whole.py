@@ -6,7 +6,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from seqloom.llm import mixing
 from seqloom.operators import collapse
 from seqloom.plans import queries, sql
 from seqloom.sources import fixtures
@@ -62,3 +64,23 @@ def test_prefixes_to_full_length(spark):
         assert dict(map(tuple, collapse.branch_lengths(df).collect())) == runs
         assert tuple(collapse.read_nodes(df).first()) == (len(nodes) - 1, len(own))
     assert collapse.branch_lengths(df.limit(0)).count() == 0 and tuple(collapse.read_nodes(df.limit(0)).first()) == (0, 0)
+
+
+def _mixed(spark, rows, shard_docs):
+    """words taken and target of each source"""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_docs=shard_docs).join(docs.select("doc_id", "source"), "doc_id")
+    return {g["source"]: (g["taken"], g["target"]) for g in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+
+
+def test_small_sources_meet_their_targets(spark):
+    big = "w " * 300_000
+    got = _mixed(spark, [(1, big, "a"), (2, big, "b"), (3, "five words and no more", "c"), (4, "w " * 100, "d")], 4096)
+    assert got["c"] == (15, 15.0) and got["d"] == (300, 300.0)
+    assert all(taken == pytest.approx(target, rel=0.001) for taken, target in got.values())
+
+
+def test_small_shards_meet_their_targets(spark):
+    rows = [(k, "w " * 9, "a") for k in range(1000)] + [(1000 + k, "w " * 50_000, f"b{k:02}") for k in range(59)]
+    got = _mixed(spark, rows, 1)
+    assert got["a"][1] < 3 * 9000 and all(taken == pytest.approx(target, rel=0.01) for taken, target in got.values())
