@@ -15,7 +15,7 @@ _QUAL = "array_to_string(list_transform(range(1, {n} + 1), lambda p: chr((33 + (
 
 READS = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_ENC} AS s, (CASE WHEN doc_id % 25 = 0 THEN 8 + doc_id % 3 ELSE 18 + doc_id % 8 END)::INT AS l FROM documents),
-r AS (SELECT doc_id, s, l, unnest(range(0, least(40, length(s) // l)))::INT AS i FROM d WHERE length(s) >= l),
+r AS (SELECT doc_id, s, l, unnest(range(0, length(s) // l))::INT AS i FROM d WHERE length(s) >= l),
 w AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN {_rc("substr(s, i * l + 1, l)")} ELSE substr(s, i * l + 1, l) END AS w FROM r),
 reads AS (SELECT (doc_id % 3)::INT AS sample, 'd' || doc_id || '_' || i AS name,
   CASE WHEN (doc_id + i) % 97 = 0 THEN substr(w, 1, 4) || 'N' || substr(w, 6) ELSE w END AS seq, {_QUAL.format(n="l", seed="doc_id * 7 + i * 3")} AS qual FROM w),
@@ -137,7 +137,9 @@ def oracle_sql() -> dict[str, str]:
     flagged = hits + DEDUP
     mapped = _COMPLEX + ", " + _places(2) + HITS + DEDUP + _BODY
     dumped = f"ok AS (SELECT * FROM k WHERE s NOT IN {_low('q', 6)}), c AS {_counts('ok')}, ql AS {_qualities('ok')}"
-    prefixes = "pf AS (SELECT DISTINCT e, substr(reverse(s), 1, e::INT) AS x FROM (SELECT s, unnest(range(0, least(length(s), 13) + 1)) AS e FROM q))"
+    prefixes = """pf AS (SELECT DISTINCT e, substr(reverse(s), 1, e::INT) AS x FROM (SELECT s, unnest(range(0, length(s) + 1)) AS e FROM q)),
+ch AS (SELECT e - 1 AS e, substr(x, 1, e::INT - 1) AS x, count(*) AS n FROM pf WHERE e > 0 GROUP BY ALL),
+pn AS (SELECT pf.e, pf.x, coalesce(n, 0)::BIGINT AS n FROM pf LEFT JOIN ch ON pf.e = ch.e AND pf.x = ch.x)"""
     return {
         "normalize": READS + "SELECT sample, name, s, qual FROM n",
         "revcomp": READS + f"SELECT name, {_rc('s')} AS rc, translate(s, 'ACGT', 'TGCA') AS c, reverse(qual) AS back_qual FROM n",
@@ -153,9 +155,11 @@ def oracle_sql() -> dict[str, str]:
         "collapsed_dump": READS
         + f""", {dumped}, nn AS (SELECT c.*, qual, row_number() OVER (ORDER BY reverse(c.s)) AS n FROM c JOIN ql ON ql.s = c.s)
 SELECT n, '@read' || n || '__' || c0 || '_' || c1 || '_' || c2 || chr(10) || s || chr(10) || '+' || chr(10) || qual AS record FROM nn""",
-        "prefix_stats": READS
-        + f""", {prefixes}, ch AS (SELECT e - 1 AS e, substr(x, 1, e::INT - 1) AS x, count(*) AS n FROM pf WHERE e > 0 GROUP BY ALL)
-SELECT pf.e AS depth, coalesce(n, 0)::BIGINT AS children, count(*) AS nodes FROM pf LEFT JOIN ch ON pf.e = ch.e AND pf.x = ch.x WHERE pf.e <= 12 GROUP BY ALL""",
+        "prefix_stats": READS + f", {prefixes} SELECT e AS depth, n AS children, count(*) AS nodes FROM pn GROUP BY ALL",
+        "branch_lengths": READS
+        + f""", {prefixes}, up AS (SELECT o.x, max(a) AS a FROM (SELECT x, unnest(range(0, e)) AS a FROM pn WHERE n <> 1) AS o JOIN pn AS b ON b.n > 1 AND b.e = a AND b.x = substr(o.x, 1, a::INT) GROUP BY o.x)
+SELECT pn.e - coalesce(up.a + 1, 0) AS length, count(*) AS branches FROM pn LEFT JOIN up ON pn.x = up.x WHERE n <> 1 GROUP BY ALL""",
+        "read_nodes": READS + f", {prefixes} SELECT count(*) AS nodes, count(*) FILTER (x IN (SELECT reverse(s) FROM q)) AS read_nodes FROM pf WHERE e > 0",
         "genome_contigs": f"WITH {GENOME} SELECT rid, s, len FROM g",
         "sam_header": f"WITH {GENOME} SELECT 0::BIGINT AS n, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unsorted' AS line UNION ALL SELECT rid + 1, '@SQ' || chr(9) || 'SN:' || rid || chr(9) || 'LN:' || len FROM g",
         "map_reads_e0": READS + f", {GENOME}, {STRANDS}, {_places(0)} SELECT s, rid, st, start FROM places",

@@ -15,7 +15,7 @@ def test_names_match():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["normalize", "kmer_code", "collapse_counts", "collapse_quality", "low_complexity_f3", "prefix_stats", "map_e1", "hits_dedup", "sam_unified"])
+@pytest.mark.parametrize("name", ["normalize", "kmer_code", "collapse_counts", "collapse_quality", "low_complexity_f3", "prefix_stats", "branch_lengths", "read_nodes", "map_e1", "hits_dedup", "sam_unified"])
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for table in ("documents", "benchmark"):

@@ -6,10 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-import corpus_pipeline
-from seqloom.llm import mixing, near_copies
 from seqloom.operators import collapse
 from seqloom.plans import queries, sql
 from seqloom.sources import fixtures
@@ -65,60 +62,3 @@ def test_prefixes_to_full_length(spark):
         assert dict(map(tuple, collapse.branch_lengths(df).collect())) == runs
         assert tuple(collapse.read_nodes(df).first()) == (len(nodes) - 1, len(own))
     assert collapse.branch_lengths(df.limit(0)).count() == 0 and tuple(collapse.read_nodes(df.limit(0)).first()) == (0, 0)
-
-
-def _mixed(spark, rows, shard_docs):
-    """words taken and target of each source"""
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(docs, shard_docs=shard_docs).join(docs.select("doc_id", "source"), "doc_id")
-    return {g["source"]: (g["taken"], g["target"]) for g in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
-
-
-def test_small_sources_meet_their_targets(spark):
-    big = "w " * 300_000
-    got = _mixed(spark, [(1, big, "a"), (2, big, "b"), (3, "five words and no more", "c"), (4, "w " * 100, "d")], 4096)
-    assert got["c"] == (15, 15.0) and got["d"] == (300, 300.0)
-    assert all(taken == pytest.approx(target, rel=0.001) for taken, target in got.values())
-
-
-def test_small_shards_meet_their_targets(spark):
-    rows = [(k, "w " * 9, "a") for k in range(1000)] + [(1000 + k, "w " * 50_000, f"b{k:02}") for k in range(59)]
-    got = _mixed(spark, rows, 1)
-    assert got["a"][1] < 3 * 9000 and all(taken == pytest.approx(target, rel=0.01) for taken, target in got.values())
-
-
-def _shingles(text):
-    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-@pytest.mark.parametrize("often", [1, 3, 10**6])
-def test_near_copies_are_exact(spark, sf_dir, monkeypatch, often):
-    monkeypatch.setattr(near_copies, "OFTEN", often)
-    r = random.Random(21)
-    texts = [None, "", " \n", "a b", "A  b", "one two three four five", "one two three four six"]
-    for _ in range(8):
-        base = [f"w{r.randrange(400)}" for _ in range(r.randint(5, 160))]
-        for _ in range(8):  # chains of copies about the bound, with a passage that all texts share
-            for _ in range(r.randint(0, 3)):
-                base[r.randrange(len(base))] = f"x{r.randrange(10**6)}"
-            texts.append(" ".join(base + ["this passage is in all of these long texts"] * (len(base) > 60)))
-    rows = [(k if k % 9 else None, t, None, "s", 1, "x") for k, t in enumerate(texts)]
-    rows += rows[10:13]
-    sets = [_shingles(t) for _, t, *_ in rows]
-    label, changed = list(range(len(rows))), True
-    while changed:
-        changed = False
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if (a == b or 5 * len(a & b) >= 4 * len(a | b)) and label[j] < label[i]:
-                    label[i], changed = label[j], True
-    best = {}
-    for (d, *_), x in zip(rows, label, strict=True):
-        best[x] = min([v for v in (best.get(x), d) if v is not None], default=None)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, th string").repartition(3)
-    left = corpus_pipeline.near(spark, docs, sf_dir)
-    assert left.columns == docs.columns
-    assert sorted(map(repr, (x["doc_id"] for x in left.collect()))) == sorted(map(repr, best.values()))
-    assert 1 < len(best) < len(rows) - 20
-    assert near_copies.one_of_each(docs.limit(0)).count() == 0
