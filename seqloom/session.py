@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +25,14 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="seqloom-ship-"), "seqloom_package.zip")
+    folder = tempfile.mkdtemp(prefix="seqloom-ship-")  # the driver's own: its file server hands the file out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "seqloom_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(PACKAGE_DIR):
+        for where, _, names in os.walk(PACKAGE_DIR):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(where, name)
                     archive.write(full, os.path.join("seqloom", os.path.relpath(full, PACKAGE_DIR)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
@@ -71,11 +77,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/seqloom-{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose materialised folders are deleted when it ends; frames made inside must not be used after it."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        delete(spark, made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Hadoop's file systems, as they were written."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: losing executors later costs nothing that was done before.
     """
     path = fresh_path(df.sparkSession, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,23 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.seq import mapq, reverse_complement
+from seqloom.operators.collapse import arrival
 
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "nh", "hi", "ih", "nm")
 
 
+def named(contigs: DataFrame) -> DataFrame:
+    """rid, rname, len: contigs without names are called by their numbers."""
+    name = F.col("name") if "name" in contigs.columns else F.col("rid").cast("string")
+    return contigs.select("rid", name.alias("rname"), "len")
+
+
 def header(contigs: DataFrame) -> DataFrame:
     """n, line: the version line, then a line for each contig."""
     first = contigs.sparkSession.createDataFrame([(0, "@HD\tVN:1.6\tSO:unsorted")], "n long, line string")
-    line = F.concat(F.lit("@SQ\tSN:"), F.col("rid").cast("string"), F.lit("\tLN:"), F.col("len").cast("string"))
-    return first.unionAll(contigs.select((F.col("rid") + 1).alias("n"), line.alias("line")))
+    line = F.concat(F.lit("@SQ\tSN:"), F.col("rname"), F.lit("\tLN:"), F.col("len").cast("string"))
+    return first.unionAll(named(contigs).select((F.col("rid") + 1).alias("n"), line.alias("line")))
 
 
-def _body(hits: DataFrame, limited: DataFrame, qualities: DataFrame) -> DataFrame:
+def _body(hits: DataFrame, limited: DataFrame, qualities: DataFrame, contigs: DataFrame) -> DataFrame:
     """The fields after qname and s, the sequence they are of."""
-    placed = hits.join(qualities, "s")
+    placed = hits.join(qualities, "s").join(named(contigs).select("rid", "rname"), "rid")
     back = F.col("st") == 0
     on = placed.select(
-        "s", "flag", F.col("rid").cast("string").alias("rname"), "pos", "mapq", "cigar",
+        "s", "flag", "rname", "pos", "mapq", "cigar",
         F.when(back, reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("seq"),
         F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), "nh", "hi", F.col("n_errors").cast("long").alias("nm"),
     )
@@ -39,17 +46,17 @@ def _fields(df: DataFrame, *more: str) -> DataFrame:
     return full.select(*more, *FIELDS)
 
 
-def lines(reads: DataFrame, hits: DataFrame, limited: DataFrame, qualities: DataFrame) -> DataFrame:
+def lines(reads: DataFrame, hits: DataFrame, limited: DataFrame, qualities: DataFrame, contigs: DataFrame) -> DataFrame:
     """sample and the fields: a row for each read and hit of its sequence. Reads are joined, never gathered by sequence."""
-    return _fields(reads.select("sample", F.col("name").alias("qname"), "s").join(_body(hits, limited, qualities), "s"), "sample")
+    return _fields(reads.select("sample", F.col("name").alias("qname"), "s").join(_body(hits, limited, qualities, contigs), "s"), "sample")
 
 
-def unified(reads: DataFrame, counts: DataFrame, hits: DataFrame, limited: DataFrame, qualities: DataFrame) -> DataFrame:
-    """The fields: a row for each hit; qname is the first name and the counts of all samples."""
+def unified(reads: DataFrame, counts: DataFrame, hits: DataFrame, limited: DataFrame, qualities: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The fields: a row for each hit; qname is the first read's name (by sample and place, or name) and all samples' counts."""
     samples = [c for c in counts.columns if c != "s"]
-    first = reads.groupBy("s").agg(F.min(F.struct("sample", "name")).alias("first"))
-    named = first.join(counts, "s").select("s", F.concat_ws("_", F.col("first.name"), *(F.col(c).cast("string") for c in samples)).alias("qname"))
-    return _fields(named.join(_body(hits, limited, qualities), "s"))
+    first = reads.groupBy("s").agg(F.min(F.struct("sample", *arrival(reads))).alias("first"))
+    named_ = first.join(counts, "s").select("s", F.concat_ws("_", F.col("first.name"), *(F.col(c).cast("string") for c in samples)).alias("qname"))
+    return _fields(named_.join(_body(hits, limited, qualities, contigs), "s"))
 
 
 def text(fields: DataFrame) -> Column:
@@ -57,10 +64,7 @@ def text(fields: DataFrame) -> Column:
     return F.concat_ws("\t", *(F.col(c).cast("string") for c in FIELDS[:11]), *tags)
 
 
-def write(fields: DataFrame, path: str) -> None:
-    """Text files of SAM lines, a folder for each sample where there is one."""
-    out = fields.withColumn("value", text(fields))
-    if "sample" in fields.columns:
-        out.select("sample", "value").write.partitionBy("sample").text(path)
-    else:
-        out.select("value").write.text(path)
+def write(fields: DataFrame, contigs: DataFrame, path: str) -> None:
+    """A folder of SAM text whose parts, put together by name, are one SAM file: the header is its first part."""
+    top = header(contigs).coalesce(1).sortWithinPartitions("n").select(F.col("line").alias("value"))
+    top.unionAll(fields.select(text(fields).alias("value"))).write.text(path)
