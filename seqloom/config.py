@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass, field
 
+from seqloom.functions.seq import MIN_LENGTH
+
 
 @dataclass
 class MapperConfig:
@@ -26,8 +28,8 @@ class MapperConfig:
             raise ValueError("-u needs exactly one -o")
         if not self.unified and len(self.outputs) != len(self.reads):
             raise ValueError("as many -o as -r are needed")
-        if not 0 <= self.errors <= 2:
-            raise ValueError("-e must be 0, 1 or 2")
+        if not 0 <= self.errors < MIN_LENGTH:
+            raise ValueError(f"-e must lie between 0 and {MIN_LENGTH - 1}")
         return self
 
 

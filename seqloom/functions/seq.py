@@ -40,6 +40,12 @@ def tail_code(seq: Column, k: int = 8) -> Column:
     return F.conv(F.translate(F.reverse(F.right(seq, F.lit(k))), "ACGT", "0123"), 4, 10).cast("long")
 
 
+def decoded(code: Column, k: int = 8) -> Column:
+    """The k bases, in reading order, of a :func:`tail_code`: two bits a base, the last base in the highest."""
+    bases = (F.substring(F.lit("ACGT"), (F.shiftright(code, 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k))
+    return F.concat(*bases)
+
+
 def mapq(n_hits: Column, n_errors: Column) -> Column:
     return F.when((n_hits > 1) | (n_errors >= 40), F.lit(0)).otherwise(40 - n_errors).cast("long")
 
@@ -52,8 +58,3 @@ def flag(strand: Column, hit: Column) -> Column:
 def mismatches(a: Column, b: Column) -> Column:
     """Hamming distance of two sequences of equal length."""
     return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda p: F.substring(a, p, F.lit(1)) != F.substring(b, p, F.lit(1))))
-
-
-def high_quality(*pieces: Column) -> Column:
-    """The character of the highest quality, position by position."""
-    return F.greatest(*pieces)

@@ -2,46 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.seq import MIN_LENGTH, SEED, resolved
 from seqloom.session import materialise
 
 
+#: Longest read whose qualities are maximised in one aggregate of a number a position.
+WIDE = 128
+
+
+def arrival(reads: DataFrame) -> tuple[str, ...]:
+    """The columns that order a sample's reads: the place in the file where that is known, then the name."""
+    return ("at", "name") if "at" in reads.columns else ("name",)
+
+
 def normalised(reads: DataFrame, seed: int = SEED) -> DataFrame:
-    """sample, name, s, qual: the sequence with U as T and ambiguous bases resolved."""
-    return reads.select("sample", "name", resolved(F.col("seq"), F.col("name"), seed).alias("s"), "qual")
+    """sample, name, s, qual (and at): the sequence with U as T and ambiguous bases resolved."""
+    more = [c for c in reads.columns if c == "at"]
+    return reads.select("sample", "name", resolved(F.col("seq"), F.col("name"), seed).alias("s"), "qual", *more)
 
 
 def long_enough(reads: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
     return reads.where(F.length("s") >= least)
 
 
+def observed(reads: DataFrame, name: str = "reads") -> tuple[DataFrame, Observation]:
+    """``reads``, and what is counted of them while they pass: n_reads, max_length, n_ambiguous (raw sequences with one)."""
+    seen = Observation(name)
+    raw = "seq" if "seq" in reads.columns else "s"
+    ambiguous = F.count(F.when(F.upper(raw).rlike("[^ACGTU]"), 1))
+    return reads.observe(seen, F.count(F.lit(1)).alias("n_reads"), F.max(F.length(raw)).alias("max_length"), ambiguous.alias("n_ambiguous")), seen
+
+
+def _counts(samples: int) -> list[Column]:
+    return [F.count(F.when(F.col("sample") == k, 1)).alias(f"c{k}") for k in range(samples)]
+
+
 def counts(reads: DataFrame, samples: int) -> DataFrame:
     """s, c0, c1, ...: one partial aggregate a sample, one shuffle on the sequence."""
-    return reads.groupBy("s").agg(*(F.count(F.when(F.col("sample") == k, 1)).alias(f"c{k}") for k in range(samples)))
+    return reads.groupBy("s").agg(*_counts(samples))
 
 
-def qualities(reads: DataFrame) -> DataFrame:
-    """s, qual: the highest quality at each position over all reads and samples.
+def _with_qualities(reads: DataFrame, more: list[Column]) -> DataFrame:
+    """s, ``more`` (aggregates) and qual, for reads of at most the longest length.
 
-    Positions are maximised before they are put together again, so a sequence with very many reads is folded by partial
-    aggregation and never gathered.
+    The highest quality of each position is a number of its own, so a very common sequence is folded before the shuffle
+    and there is only that one. Reads over ``WIDE`` bases are maximised by position and put together after a second.
     """
+    longest = reads.agg(F.max(F.length("s"))).first()[0] or 0
+    if longest <= WIDE:
+        best = [F.max(F.ascii(F.substring("qual", p, 1))).alias(f"q{p}") for p in range(1, longest + 1)]
+        folded = reads.groupBy("s").agg(*more, *best)
+        # places beyond a sequence's end have code 0
+        qual = F.concat(F.lit(""), *(F.when(F.col(f"q{p}") > 0, F.char(F.col(f"q{p}"))).otherwise("") for p in range(1, longest + 1)))
+        return folded.select("s", *(c for c in folded.columns if c != "s" and c[0] != "q"), qual.alias("qual"))
     each = reads.select("s", F.posexplode(F.split("qual", "")).alias("p", "q")).groupBy("s", "p").agg(F.max("q").alias("q"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]), "")
-    return each.groupBy("s").agg(joined.alias("qual"))
+    by_position = each.groupBy("s").agg(joined.alias("qual"))  # bounded by the read's length
+    return by_position if not more else reads.groupBy("s").agg(*more).join(by_position, "s")
+
+
+def qualities(reads: DataFrame) -> DataFrame:
+    """s, qual: the highest quality at each position over all reads and samples."""
+    return _with_qualities(reads, [])
 
 
 def names(reads: DataFrame) -> DataFrame:
-    """s, sample, names: ordered by name, a row for each sequence and sample that has it."""
-    return reads.groupBy("s", "sample").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """s, sample, names: in order of arrival, a row for each sequence and sample that has it."""
+    listed = F.array_sort(F.collect_list(F.struct(*arrival(reads))))
+    return reads.groupBy("s", "sample").agg(F.transform(listed, lambda x: x["name"]).alias("names"))
 
 
 def collapsed(reads: DataFrame, samples: int) -> DataFrame:
-    """s, counts by sample, qual."""
-    return counts(reads, samples).join(qualities(reads), "s")
+    """s, counts by sample, qual: one shuffle on the sequence."""
+    return _with_qualities(reads, _counts(samples))
 
 
 def triplets(seq: Column) -> Column:
@@ -58,19 +94,11 @@ def triplet_counts(sequences: DataFrame) -> DataFrame:
 def is_low_complexity(seq: Column, most: int = 6) -> Column:
     """Whether some triplet of the reversed sequence that ends after its eighth base is the (most+1)th of its kind so far.
 
-    Triplets are sorted with their ends; then one that equals the triplet ``most`` places before it is such a one. (Read
-    forwards, a triplet at 1-based place i ends at 0-based place length - i of the reversed sequence.)
+    Read forwards that is a triplet with at least nine bases from it on and ``most`` more of its kind to its right. The
+    expression steps from one to the next; its atomic groups never go back, so a sequence costs at most its length a start.
     """
-
-    def of_bound(q: Column) -> Column:
-        n = F.length(q)
-        places = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.substring(q, i, F.lit(3)).alias("t"), (n - i).alias("end")))
-        pairs = F.greatest(n - 2 - most, F.lit(0))
-        pick = lambda r: F.zip_with(F.slice(r, F.lit(1), pairs), F.slice(r, F.lit(most + 1), pairs), lambda a, b: (a["t"] == b["t"]) & (b["end"] >= 8))
-        return F.when(n >= 9, F.exists(F.array(F.array_sort(places)), lambda r: F.exists(pick(r), lambda x: x))).otherwise(False)
-
-    # the arrays of one bind what is in them: else the optimizer may put the whole expression of ``seq`` into the loops
-    return F.exists(F.array(seq), of_bound)
+    more = f"(?>[ACGT][ACGT]*?(?=\\1)){{{most}}}" if most else ""
+    return seq.rlike(f"(?=([ACGT]{{3}})[ACGT]{{6}}){more}")
 
 
 def dump(sequences: DataFrame, samples: int) -> DataFrame:

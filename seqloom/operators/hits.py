@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions.align import operations, run_lengths
 from seqloom.functions.seq import flag, mapq
 from seqloom.operators.mapping import intervals, with_indels
+from seqloom.session import ship_package
 
 
 def positioned(places: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -58,52 +60,35 @@ def flagged(hits: DataFrame) -> DataFrame:
     return hits.withColumn("flag", flag(F.col("st"), F.col("hi"))).withColumn("mapq", mapq(F.col("nh"), F.col("n_errors")))
 
 
-def operations(read: str, g: str) -> str:
-    """Edits from the read's 5' end: of all alignments with fewest errors, then fewest indels, the one that edits first.
+def _common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix of two sequences."""
+    return F.length(F.regexp_extract(F.concat(a, F.lit("|"), b), r"^([^|]*)[^|]*\|\1", 1))
 
-    A letter for each step of =, X, I (base only in the read) and D (base only in the genome).
-    """
-    n, m = len(read), len(g)
-    # cost of the suffixes: (errors, indels)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n and j == m:
-                continue
-            options = []
-            if i < n and j < m:
-                e, k = best[i + 1][j + 1]
-                options.append((e + (read[i] != g[j]), k))
-            if i < n:
-                e, k = best[i + 1][j]
-                options.append((e + 1, k + 1))
-            if j < m:
-                e, k = best[i][j + 1]
-                options.append((e + 1, k + 1))
-            best[i][j] = min(options)
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        e, k = best[i][j]
-        if i < n and j < m and read[i] != g[j] and best[i + 1][j + 1] == (e - 1, k):
-            out.append("X")
-        elif i < n and best[i + 1][j] == (e - 1, k - 1):
-            out.append("I")
-        elif j < m and best[i][j + 1] == (e - 1, k - 1):
-            out.append("D")
-        else:
-            out.append("=")
-        i += out[-1] != "D"
-        j += out[-1] != "I"
-    return "".join(out)
-
-
-def run_lengths(steps: str) -> str:
-    out, at = [], 0
-    for k in range(1, len(steps) + 1):
-        if k == len(steps) or steps[k] != steps[at]:
-            out.append(f"{k - at}{steps[at]}")
-            at = k
-    return "".join(out)
+
+def _run(n: Column, what: str) -> Column:
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(what))).otherwise("")
+
+
+def _one_edit() -> Column:
+    """CIGAR, from the read's 5' end, of a hit with one error: the edit as early as the common suffix allows, and its mirror
+    for the reverse strand."""
+    s, g, n = F.col("s"), F.col("g"), F.length("s")
+    same = F.length("g") == n
+    prefix, suffix = _common_prefix(s, g), _common_prefix(F.reverse(s), F.reverse(g))
+    before = F.when(same, prefix).when(n > F.length("g"), n - 1 - F.least(suffix, n - 1)).otherwise(n - F.least(suffix, n))
+    kept = F.when(n < F.length("g"), n).otherwise(n - 1)
+    op = F.when(same, F.lit("1X")).when(n > F.length("g"), F.lit("1I")).otherwise(F.lit("1D"))
+    first, last = _run(before, "="), _run(kept - before, "=")
+    return F.when(F.col("st") == 1, F.concat(first, op, last)).otherwise(F.concat(last, op, first))
+
+
+def _two_mismatches() -> Column:
+    """CIGAR of a hit with two mismatches and no indel."""
+    a, b = _common_prefix(F.col("s"), F.col("g")), _common_prefix(F.reverse("s"), F.reverse("g"))
+    first, last = F.when(F.col("st") == 1, a).otherwise(b), F.when(F.col("st") == 1, b).otherwise(a)
+    between = F.length("s") - a - b - 2
+    inner = F.when(between > 0, F.concat(F.lit("1X"), between.cast("string"), F.lit("=1X"))).otherwise("2X")
+    return F.concat(_run(first, "="), inner, _run(last, "="))
 
 
 @F.pandas_udf(T.StringType())
@@ -113,12 +98,18 @@ def _edited(read: pd.Series, g: pd.Series, strand: pd.Series) -> pd.Series:
 
 
 def with_cigar(hits: DataFrame) -> DataFrame:
-    """``hits`` and cigar, along the forward strand. Exact hits stay in generated code; only others go to Python."""
-    exact = hits.where("n_errors = 0").withColumn("cigar", F.concat(F.length("s").cast("string"), F.lit("=")))
-    return exact.unionByName(hits.where("n_errors > 0").withColumn("cigar", _edited("s", "g", "st")))
+    """``hits`` (with n_indels) and cigar, along the forward strand.
+
+    Exact hits, hits with one error and those with two mismatches are expressions; only two errors with an indel, and more
+    than two, go to Python.
+    """
+    ship_package(hits.sparkSession)
+    told = F.when(F.col("n_errors") == 0, F.concat(F.length("s").cast("string"), F.lit("="))).when(F.col("n_errors") == 1, _one_edit()).otherwise(_two_mismatches())
+    plain = (F.col("n_errors") <= 1) | ((F.col("n_errors") == 2) & (F.col("n_indels") == 0))
+    return hits.where(plain).withColumn("cigar", told).unionByName(hits.where(~plain).withColumn("cigar", _edited("s", "g", "st")))
 
 
-def reported(places: DataFrame, contigs: DataFrame, most_hits: int = 5) -> tuple[DataFrame, DataFrame]:
+def reported(places: DataFrame, contigs: DataFrame, most_hits: int = 5, most_errors: int = 2) -> tuple[DataFrame, DataFrame]:
     """(flagged hits within the limit, sequences over it)."""
-    hits = positioned(intervals(with_indels(places)), contigs)
+    hits = positioned(intervals(with_indels(places, most_errors)), contigs)
     return flagged(deduplicated(within_limit(hits, most_hits))), over_limit(hits, most_hits)

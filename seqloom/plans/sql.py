@@ -114,20 +114,38 @@ lc AS (SELECT *, length(s) AS l,
   FROM fl WHERE n_errors <= 1),
 ed AS (SELECT *, CASE WHEN n_errors = 0 THEN l WHEN l = glen THEN pre WHEN l > glen THEN l - 1 - least(suf, l - 1) ELSE l - least(suf, l) END AS a,
   CASE WHEN n_errors = 0 THEN '' WHEN l = glen THEN '1X' WHEN l > glen THEN '1I' ELSE '1D' END AS op FROM lc),
-eb AS (SELECT *, CASE WHEN n_errors = 0 THEN 0 WHEN l < glen THEN l - a ELSE l - 1 - a END AS b FROM ed)
-SELECT s, rid, pos, st, CASE WHEN st = 1 THEN (CASE WHEN a > 0 THEN a || '=' ELSE '' END) || op || (CASE WHEN b > 0 THEN b || '=' ELSE '' END)
-  ELSE (CASE WHEN b > 0 THEN b || '=' ELSE '' END) || op || (CASE WHEN a > 0 THEN a || '=' ELSE '' END) END AS cigar FROM eb"""
+eb AS (SELECT *, CASE WHEN n_errors = 0 THEN 0 WHEN l < glen THEN l - a ELSE l - 1 - a END AS b FROM ed),
+cg1 AS (SELECT s, hi, rid, pos, st, CASE WHEN st = 1 THEN (CASE WHEN a > 0 THEN a || '=' ELSE '' END) || op || (CASE WHEN b > 0 THEN b || '=' ELSE '' END)
+  ELSE (CASE WHEN b > 0 THEN b || '=' ELSE '' END) || op || (CASE WHEN a > 0 THEN a || '=' ELSE '' END) END AS cigar FROM eb)"""
+
+# two errors: every pair of edits, with a equal bases before the first and b between them, that turns the read into g
+_DOUBLE = """
+ty(t, r, ds, dg) AS (VALUES ('X', 0, 1, 1), ('I', 1, 1, 0), ('D', 2, 0, 1)),
+e1 AS (SELECT fl.*, length(fl.s) AS l, unnest(range(0, least(length(fl.s), glen)::BIGINT + 1)) AS a FROM fl WHERE n_errors = 2),
+e2 AS (SELECT e1.*, x.t AS t1, x.r AS r1, x.ds AS ds1, x.dg AS dg1, y.t AS t2, y.r AS r2, y.ds AS ds2, y.dg AS dg2
+  FROM e1, ty AS x, ty AS y WHERE substr(s, 1, a::INT) = substr(g, 1, a::INT) AND l - x.ds - y.ds = glen - x.dg - y.dg
+    AND (x.ds <> x.dg)::INT + (y.ds <> y.dg)::INT = n_indels AND (x.t <> 'X' OR substr(s, a::INT + 1, 1) <> substr(g, a::INT + 1, 1))),
+e3 AS (SELECT *, l - a - ds1 - b - ds2 AS c FROM (SELECT *, unnest(range(0, l - a - ds1 - ds2 + 1)) AS b FROM e2 WHERE l - a - ds1 - ds2 >= 0)),
+e4 AS (SELECT * FROM e3 WHERE substr(s, (a + ds1)::INT + 1, b::INT) = substr(g, (a + dg1)::INT + 1, b::INT)
+    AND (t2 <> 'X' OR substr(s, (a + ds1 + b)::INT + 1, 1) <> substr(g, (a + dg1 + b)::INT + 1, 1))
+    AND substr(s, (a + ds1 + b + ds2)::INT + 1) = substr(g, (a + dg1 + b + dg2)::INT + 1)
+  QUALIFY row_number() OVER (PARTITION BY s, hi ORDER BY a, r1, b, r2) = 1),
+e5 AS (SELECT *, CASE WHEN a > 0 THEN a || '=' ELSE '' END AS fa, CASE WHEN c > 0 THEN c || '=' ELSE '' END AS fc, CASE WHEN b > 0 THEN b || '=' ELSE '' END AS fb FROM e4),
+cg2 AS (SELECT s, hi, rid, pos, st, CASE WHEN b = 0 AND t1 = t2 THEN (CASE WHEN st = 1 THEN fa || '2' || t1 || fc ELSE fc || '2' || t1 || fa END)
+    WHEN st = 1 THEN fa || '1' || t1 || fb || '1' || t2 || fc ELSE fc || '1' || t2 || fb || '1' || t1 || fa END AS cigar FROM e5),
+cg AS (SELECT * FROM cg1 UNION ALL SELECT * FROM cg2)"""
 
 _BODY = f""",
 ql AS {_qualities("k")},
 body AS (
-  SELECT fl.s, flag, rid::VARCHAR AS rname, pos, mapq, CASE WHEN st = 0 THEN {_rc("fl.s")} ELSE fl.s END AS seq,
-    CASE WHEN st = 0 THEN reverse(qual) ELSE qual END AS qual, nh, hi, n_errors::BIGINT AS nm FROM fl JOIN ql ON ql.s = fl.s
+  SELECT fl.s, flag, fl.rid::VARCHAR AS rname, fl.pos, mapq, CASE WHEN fl.st = 0 THEN {_rc("fl.s")} ELSE fl.s END AS seq,
+    CASE WHEN fl.st = 0 THEN reverse(qual) ELSE qual END AS qual, nh, fl.hi, n_errors::BIGINT AS nm, cigar
+  FROM fl JOIN ql ON ql.s = fl.s JOIN cg ON cg.s = fl.s AND cg.hi = fl.hi
   UNION ALL
-  SELECT h.s, 4, '*', 0, CASE WHEN nh > 1 THEN 0 ELSE 40 - nm END, h.s, qual, nh, 0, nm
+  SELECT h.s, 4, '*', 0, CASE WHEN nh > 1 THEN 0 ELSE 40 - nm END, h.s, qual, nh, 0, nm, '*'
   FROM (SELECT s, max(n_hits_raw) AS nh, max(n_errors) AS nm FROM hits WHERE n_hits_raw > 5 GROUP BY s) AS h JOIN ql ON ql.s = h.s)
 """
-_FIELDS = "flag::BIGINT AS flag, rname, pos::BIGINT AS pos, mapq::BIGINT AS mapq, '*' AS rnext, 0::BIGINT AS pnext, 0::BIGINT AS tlen, seq, qual, nh::BIGINT AS nh, hi::BIGINT AS hi, nh::BIGINT AS ih, nm::BIGINT AS nm"
+_FIELDS = "cigar, flag::BIGINT AS flag, rname, pos::BIGINT AS pos, mapq::BIGINT AS mapq, '*' AS rnext, 0::BIGINT AS pnext, 0::BIGINT AS tlen, seq, qual, nh::BIGINT AS nh, hi::BIGINT AS hi, nh::BIGINT AS ih, nm::BIGINT AS nm"
 _COMPLEX = PLANTED.replace("q AS (SELECT DISTINCT s FROM k)", "k0 AS (SELECT * FROM k1 WHERE length(s) >= 9), k AS (SELECT * FROM k0 WHERE s NOT IN " + _low("k0", 6) + "), q AS (SELECT DISTINCT s FROM k)").replace("\nk AS (SELECT (rid", "\nk1 AS (SELECT (rid")
 
 
@@ -135,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
     places = PLANTED + ", " + _places(2)
     hits = places + HITS
     flagged = hits + DEDUP
-    mapped = _COMPLEX + ", " + _places(2) + HITS + DEDUP + _BODY
+    mapped = _COMPLEX + ", " + _places(2) + HITS + DEDUP + "," + _SINGLE + "," + _DOUBLE + _BODY
     dumped = f"ok AS (SELECT * FROM k WHERE s NOT IN {_low('q', 6)}), c AS {_counts('ok')}, ql AS {_qualities('ok')}"
     prefixes = """pf AS (SELECT DISTINCT e, substr(reverse(s), 1, e::INT) AS x FROM (SELECT s, unnest(range(0, length(s) + 1)) AS e FROM q)),
 ch AS (SELECT e - 1 AS e, substr(x, 1, e::INT - 1) AS x, count(*) AS n FROM pf WHERE e > 0 GROUP BY ALL),
@@ -162,7 +180,7 @@ SELECT pn.e - coalesce(up.a + 1, 0) AS length, count(*) AS branches FROM pn LEFT
         "read_nodes": READS + f", {prefixes} SELECT count(*) AS nodes, count(*) FILTER (x IN (SELECT reverse(s) FROM q)) AS read_nodes FROM pf WHERE e > 0",
         "genome_contigs": f"WITH {GENOME} SELECT rid, s, len FROM g",
         "sam_header": f"WITH {GENOME} SELECT 0::BIGINT AS n, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unsorted' AS line UNION ALL SELECT rid + 1, '@SQ' || chr(9) || 'SN:' || rid || chr(9) || 'LN:' || len FROM g",
-        "map_reads_e0": READS + f", {GENOME}, {STRANDS}, {_places(0)} SELECT s, rid, st, start FROM places",
+        **{f"map_reads_e{e}": READS + f", {GENOME}, {STRANDS}, {_places(e)} SELECT s, rid, st, start{'' if e == 0 else ', glen::BIGINT AS glen'} FROM {'places' if e == 0 else f'm{e}'}" for e in range(3)},
         **{f"map_e{e}": PLANTED + f", {_places(e)} SELECT s, rid, st, start, glen FROM m{e}" for e in range(3)},
         "best_stratum": places + "SELECT s, min(n_errors)::BIGINT AS n_errors, count(*) AS places FROM places GROUP BY s",
         "nhits_raw": hits + "SELECT DISTINCT s, n_hits_raw FROM hits",
@@ -171,7 +189,11 @@ SELECT pn.e - coalesce(up.a + 1, 0) AS length, count(*) AS branches FROM pn LEFT
         "hits_dedup": flagged + "SELECT s, rid, st, pos, glen, n_indels, nh FROM fl",
         "hit_index": flagged + "SELECT s, rid, pos, st, hi FROM fl",
         "mapq_flag": flagged + "SELECT s, rid, pos, flag, mapq FROM fl",
-        "cigar_single": flagged + "," + _SINGLE,
+        "cigar_single": flagged + "," + _SINGLE + " SELECT s, rid, pos, st, cigar FROM cg1",
+        "cigar": flagged + "," + _SINGLE + "," + _DOUBLE + " SELECT s, rid, pos, st, cigar FROM cg",
+        "sam_text": mapped
+        + """ SELECT sample, concat_ws(chr(9), name, flag, rname, pos, mapq, cigar, '*', 0, 0, seq, body.qual, 'NH:i:' || nh, 'HI:i:' || hi, 'IH:i:' || nh, 'NM:i:' || nm) AS line
+FROM k JOIN body ON body.s = k.s""",
         "sam_lines": mapped + f"SELECT sample, name AS qname, {_FIELDS.replace(' qual,', ' body.qual,')} FROM k JOIN body ON body.s = k.s",
         "sam_unified": mapped
         + f""", cn AS {_counts("k")}, fn AS (SELECT s, arg_min(name, (sample, name)) AS name FROM k GROUP BY s)

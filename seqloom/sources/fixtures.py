@@ -16,18 +16,24 @@ def encoded(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _LETTERS + _LETTERS.upper(), _CODES + _CODES), "[^ACGT]", "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _quality(length: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda p: F.char(33 + (seed + p * p) % 41)), "")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, name, seq, qual: all windows of documents, some with an N, some too short."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", encoded(F.col("text")).alias("s"))
-    d = d.withColumn("L", F.when(F.col("doc_id") % 25 == 0, 8 + F.col("doc_id") % 3).otherwise(18 + F.col("doc_id") % 8).cast("int"))
-    d = d.where(F.length("s") >= F.col("L"))
-    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("cast(length(s) div L - 1 as int)"))))
-    w = F.substring(F.col("s"), F.col("i") * F.col("L") + 1, F.col("L"))
-    d = d.withColumn("w", F.when(F.col("doc_id") % 2 == 1, reverse_complement(w)).otherwise(w))
+    length = F.when(F.col("doc_id") % 25 == 0, 8 + F.col("doc_id") % 3).otherwise(18 + F.col("doc_id") % 8).cast("int")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", encoded(F.col("text")).alias("s"), length.alias("L"))
+    # one pass over a text, and rows that carry their own window only
+    cut = F.regexp_extract_all("s", F.concat(F.lit(".{"), F.col("L").cast("string"), F.lit("}")), F.lit(0))
+    d = d.select("doc_id", "L", F.posexplode(cut).alias("i", "w"))
+    d = d.withColumn("w", F.when(F.col("doc_id") % 2 == 1, reverse_complement(F.col("w"))).otherwise(F.col("w")))
     with_n = F.concat(F.substring("w", 1, 4), F.lit("N"), F.substring(F.col("w"), F.lit(6), F.length("w")))
     return d.select(
         (F.col("doc_id") % 3).cast("int").alias("sample"),

@@ -120,3 +120,64 @@ def test_hit_limit(spark):
     for most, want in ((3, [(0, 1, 3), (256, 2, 3), (256, 3, 3)]), (2, [(4, 0, 3)])):
         got = pipeline.mapped(df, _contigs(spark, genome), 1, most_hits=most).lines().collect()
         assert sorted((x["flag"], x["hi"], x["nh"]) for x in got) == want
+
+
+def test_every_tile_edge_and_length(spark):
+    """Reads of any length at every place: nothing is cut off where tiles end."""
+    r = random.Random(17)
+    genome = {0: "".join(r.choice("ACGT") for _ in range(3000)), 1: "".join(r.choice("ACGT") for _ in range(300))}
+    reads = {}
+    for length in (20, 150, 200, 263, 300, 1000):
+        for start in {0, 1, 250, 255, 256, 257, 511, 512, 900, 1023, 1024, 1025, 2999 - length, 3000 - length}:
+            for errors in (0, 1, 2):
+                w = list(genome[0][start : start + length])
+                for p in r.sample(range(3, length - 3), errors):
+                    w[p] = {"A": "C", "C": "G", "G": "T", "T": "A"}[w[p]]
+                w = "".join(w)
+                if r.random() < 0.5:
+                    reads[w[::-1].translate(COMPLEMENT)] = (0, 0, 3000 - start - length + 1, errors)
+                else:
+                    reads[w] = (0, 1, start + 1, errors)
+    got = mapping.best_places(spark.createDataFrame([(x,) for x in reads], "s string"), _contigs(spark, genome), 2).collect()
+    found = {}
+    for g in got:
+        found.setdefault(g["s"], set()).add((g["rid"], g["st"], g["start"], g["n_errors"]))
+        assert _distance(g["s"], g["g"]) == g["n_errors"] if len(g["s"]) < 30 else len(g["g"]) == g["glen"]
+    assert all(reads[x] in found.get(x, ()) for x in reads)
+
+
+def test_three_errors(spark):
+    r = random.Random(23)
+    genome = {k: "".join(r.choice("ACGT") for _ in range(60)) for k in range(2)}
+    reads = set()
+    for _ in range(4):
+        w = list(genome[r.randrange(2)][(p := r.randrange(35)) : p + 20])
+        for _ in range(3):
+            r.choice([lambda w=w: w.pop(r.randrange(len(w))), lambda w=w: w.__setitem__(r.randrange(len(w)), r.choice("ACGT"))])()
+        reads.add("".join(w))
+    contigs = _contigs(spark, genome)
+    places = mapping.best_places(spark.createDataFrame([(x,) for x in reads], "s string"), contigs, 3)
+    assert {(g["s"], g["rid"], g["st"], g["start"], g["glen"], g["n_errors"]) for g in places.collect()} == {(x, *p) for x in reads for p in _brute(x, genome, 3)}
+    found, _ = hits.reported(places, contigs, 50, 3)
+    for h in hits.with_cigar(found).collect():
+        counts = {c: sum(int(n) for n, x in re.findall(r"(\d+)(.)", h["cigar"]) if x == c) for c in "=XID"}
+        assert counts["X"] + counts["I"] + counts["D"] == h["n_errors"] and counts["I"] + counts["D"] == h["n_indels"]
+        assert counts["="] + counts["X"] + counts["I"] == len(h["s"])
+
+
+def test_cigar_expressions_equal_the_alignment(spark):
+    r = random.Random(29)
+    rows = []
+    for k in range(400):
+        g = "".join(r.choice("ACG" if k % 2 else "AC") for _ in range(r.randint(9, 16)))
+        read = list(g)
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(read))
+            r.choice([lambda at=at: read.pop(at), lambda at=at: read.insert(at, "A"), lambda at=at: read.__setitem__(at, "T")])()
+        read = "".join(read)
+        steps = hits.operations(read, g)
+        errors = sum(c != "=" for c in steps)
+        rows.append((read, g, k % 2, errors, sum(c in "ID" for c in steps), hits.run_lengths(steps if k % 2 else steps[::-1])))
+    df = spark.createDataFrame(rows, "s string, g string, st int, n_errors int, n_indels long, want string").withColumn("glen", F.length("g"))
+    assert hits.with_cigar(df).where("cigar <> want").count() == 0
+    assert mapping.with_indels(df.withColumnRenamed("n_indels", "told")).where("n_indels <> told").count() == 0
