@@ -6,12 +6,13 @@ averaged over the chunks; a logistic unit combines the responses into one probab
 256 weights for each of its places, so a convolution is ``WIDTH`` look-ups and sums, and the gradient of a maximum touches
 only the bytes at its place.
 
-Training: labelled rows outside the held-out fold, at most ``ROWS`` of them (those of least hash of doc_id; all, where
-there are fewer), each by at most ``ROW_CHUNKS`` chunks spread evenly over the whole document. Nothing but the text is an
-input. The fit is seeded and independent of the partitioning; it runs on the driver in bounded memory, and the weights
-(about 80 kB) travel with the scoring function. Without any labelled row the score is 0.5 everywhere.
+Training: labelled documents outside the held-out fold, at most ``ROWS`` of them (those of least hash of doc_id; all,
+where there are fewer), each by its whole text, exactly as it is scored. Nothing but the text is an input. The fit is
+seeded and independent of the partitioning; it runs on the driver, which holds those documents' texts and nothing else,
+and the weights (about 80 kB) travel with the scoring function. Without any labelled row the score is 0.5 everywhere.
 
-Null texts are empty; texts shorter than a filter are padded with zero bytes. Repeated rows are scored alike.
+Null texts are empty; texts shorter than a filter are padded with zero bytes. Repeated rows are scored alike; of rows and
+labels with one doc_id the least quality and then the least text is learned, once. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.shared import byte_texts
 
 WIDTH, FILTERS, CHUNK = 5, 16, 512
-ROWS, ROW_CHUNKS = 6000, 16
-STEPS, BATCH, SEEN = 700, 48, 4
+ROWS = 6000
+STEPS, BATCH = 300, 48
+#: Chunks whose responses are held at once.
+BLOCK = 128
 RATE, DECAY, SEED = 0.02, 1e-4, 7
 THRESHOLD = 0.7
 
@@ -44,42 +47,65 @@ class Network:
         return [self.tables, self.bias, self.weights, self.offset]
 
     def responses(self, data: np.ndarray) -> np.ndarray:
-        """Filter responses at each place of an array of bytes (last axis)."""
-        n = data.shape[-1] - WIDTH + 1
-        out = self.tables[0][data[..., :n]]
+        """Filter responses at each place of an array of bytes."""
+        n = len(data) - WIDTH + 1
+        out = np.take(self.tables[0], data[:n], axis=0, mode="clip")
         for k in range(1, WIDTH):
-            out += self.tables[k][data[..., k : n + k]]
+            out += np.take(self.tables[k], data[k : n + k], axis=0, mode="clip")
         return out
 
-    def score(self, text: bytes, block: int = 128) -> float:
-        """The probability of quality 1 from the whole text, ``block`` chunks at a time."""
-        data = np.frombuffer(text.ljust(WIDTH, b"\0"), dtype=np.uint8)
-        places = len(data) - WIDTH + 1
-        total, chunks = np.zeros(FILTERS), -(-places // CHUNK)
-        for at in range(0, places, block * CHUNK):
-            part = self.responses(data[at : at + block * CHUNK + WIDTH - 1])
-            pooled = np.maximum.reduceat(part, np.arange(0, len(part), CHUNK), axis=0)
-            total += np.maximum(pooled + self.bias, 0).sum(axis=0, dtype=np.float64)
-        return float(1 / (1 + np.exp(-np.clip((total / chunks * self.weights).sum() + self.offset[0], -30, 30))))
+    def pooled(self, text: bytes, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The greatest response of each filter in each chunk of the whole text and, if asked for, where it is."""
+        data = _bytes(text)
+        n = len(data) - WIDTH + 1
+        tops, at = [], []
+        for start in range(0, n, BLOCK * CHUNK):
+            part = self.responses(data[start : start + BLOCK * CHUNK + WIDTH - 1])
+            tops.append(np.maximum.reduceat(part, np.arange(0, len(part), CHUNK), axis=0))
+            if places:
+                whole = len(part) // CHUNK
+                best = part[: whole * CHUNK].reshape(whole, CHUNK, FILTERS).argmax(axis=1)
+                if whole * CHUNK < len(part):
+                    best = np.concatenate([best, part[whole * CHUNK :].argmax(axis=0)[None]])
+                at.append(best + start + CHUNK * np.arange(len(best))[:, None])
+        return np.concatenate(tops), np.concatenate(at) if places else None
+
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((features * self.weights).sum(axis=-1) + self.offset[0], -30, 30)))
+
+    def score(self, text: bytes) -> float:
+        """The probability of quality 1 from the whole text."""
+        return float(self.probability(np.maximum(self.pooled(text)[0] + self.bias, 0).mean(axis=0, dtype=np.float64)))
+
+    def gradient(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean logistic loss of whole texts, for each of the parameters."""
+        out = [np.zeros_like(p) for p in self.parameters()]
+        for text, y, w in zip(texts, labels.tolist(), weight.tolist(), strict=True):
+            tops, at = self.pooled(text, places=True)
+            raised = tops + self.bias
+            features = np.maximum(raised, 0).mean(axis=0)
+            g = (float(self.probability(features)) - y) * w / len(texts)
+            each = (g * self.weights / len(tops)) * (raised > 0)  # chunks, filters
+            data, filters = _bytes(text), np.broadcast_to(np.arange(FILTERS), at.shape)
+            for k in range(WIDTH):
+                np.add.at(out[0][k], (data[at + k], filters), each)
+            out[1] += each.sum(axis=0)
+            out[2] += (g * features).astype(np.float32)
+            out[3] += np.float32(g)
+        return out
 
 
-def chunks_of(text: bytes, most: int = ROW_CHUNKS) -> bytes:
-    """At most ``most`` whole chunks (with their overlap), evenly spread over the text, joined; short texts are padded."""
-    size = CHUNK + WIDTH - 1
-    n = max(1, -(-(len(text) - WIDTH + 1) // CHUNK))
-    picked = np.unique(np.linspace(0, n - 1, min(n, most)).round().astype(int))
-    return b"".join(text[CHUNK * k : CHUNK * k + size].ljust(size, b"\0") for k in picked.tolist())
+def _bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.ljust(WIDTH, b"\0"), dtype=np.uint8)
 
 
 def train(rows: list[tuple[bytes, int]], steps: int = STEPS, seed: int = SEED) -> Network:
-    """Fit a network to (joined chunks, label) by Adam on the logistic loss."""
+    """Fit a network to (text, label) by Adam on the logistic loss of whole texts."""
     net = Network(seed)
     if not rows:
         net.weights[:] = 0
         return net
     rng = np.random.default_rng(seed)
-    size = CHUNK + WIDTH - 1
-    data = [np.frombuffer(c, dtype=np.uint8).reshape(-1, size) for c, _ in rows]
     labels = np.array([y for _, y in rows], dtype=np.float32)
     by_class = [np.flatnonzero(labels == y) for y in (0, 1)]
     rate = float(labels.mean())
@@ -88,24 +114,11 @@ def train(rows: list[tuple[bytes, int]], steps: int = STEPS, seed: int = SEED) -
         net.offset[:] = 3 if rate else -3
         return net
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    places = np.arange(WIDTH)
     for step in range(1, steps + 1):
         # half of each class, weighted back to their shares, so that scores stay probabilities
         drawn = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
         y = labels[drawn]
-        share = np.where(y > 0, rate, 1 - rate) * 2
-        x = np.stack([data[i][rng.integers(0, len(data[i]), SEEN)] for i in drawn])
-        part = net.responses(x)
-        best = part.argmax(axis=2)
-        pooled = np.take_along_axis(part, best[:, :, None, :], axis=2)[:, :, 0, :] + net.bias
-        features = np.maximum(pooled, 0).mean(axis=1)
-        p = 1 / (1 + np.exp(-np.clip((features * net.weights).sum(axis=1) + net.offset[0], -30, 30)))
-        g = ((p - y) * share / len(y)).astype(np.float32)
-        g_pooled = g[:, None, None] * net.weights * (pooled > 0) / SEEN
-        grads = [np.zeros_like(net.tables), g_pooled.sum(axis=(0, 1)), (g[:, None] * features).sum(axis=0), g.sum(keepdims=True)]
-        at = best[..., None] + places  # documents, chunks, filters, places of the filter
-        d, c, f, k = np.indices(at.shape, sparse=True)
-        np.add.at(grads[0], (np.broadcast_to(k, at.shape), x[d, c, at], np.broadcast_to(f, at.shape)), np.broadcast_to(g_pooled[..., None], at.shape))
+        grads = net.gradient([rows[i][0] for i in drawn], y, np.where(y > 0, rate, 1 - rate) * 2)
         lr = RATE * (1 - step / (steps + 1))
         for parameter, grad, (m, v) in zip(net.parameters(), grads, moments, strict=True):
             grad = grad + DECAY * parameter
@@ -120,22 +133,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _chunked(batches):
-    for batch in batches:
-        chunks = pa.array([chunks_of(t) for t in byte_texts(batch.column("text"))], type=pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), chunks], names=["doc_id", "quality", "chunks"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network:
-    """Train on at most ``rows`` labelled rows outside the held-out fold."""
+    """Train on at most ``rows`` labelled documents outside the held-out fold."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` narrow rows
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(usable), "doc_id")
-    found = joined.mapInArrow(_chunked, "doc_id long, quality int, chunks binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["chunks"])))
-    return train([(bytes(r["chunks"]), r["quality"]) for r in found])
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
+    # one row a document, folded where it lies: a doc_id that repeats does not reach the driver twice
+    found = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", F.encode("text", "UTF-8").alias("text")).collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return train([(bytes(r["text"]), r["quality"]) for r in found])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

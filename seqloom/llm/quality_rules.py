@@ -4,9 +4,13 @@ Rules of a document (null text: no words): ``short`` (under 50 words), ``repetit
 3-word windows found twice or more), ``symbols`` (over a tenth as many symbols as characters in words) and ``lines``
 (over a third of its lines equal an earlier one). The first two reject a document by themselves.
 
-Host verdicts: failures of each rule are summed by host (the ``source`` column; null is a host of its own), each host's
-rate is shrunk by a beta prior fitted to all hosts by moments, and a host whose shrunk rate of any rule exceeds
-``max_host_rate`` is rejected with all its documents. Only the four numbers a rule's prior needs reach the driver.
+Host verdicts: failures of each rule are summed by host (the ``source`` column; null is a host of its own) and each
+host's rate is shrunk by a beta prior fitted to all hosts by moments. A host whose shrunk rate of any rule exceeds
+``max_host_rate`` is rejected with all its documents. A host whose shrunk rate of ``symbols`` or ``lines`` exceeds
+``EXCESS`` times that of all documents, the prior's mean, has a verdict against it for that rule: of its documents those
+that fail the rule are rejected, while the same failure is let pass where the host does no worse than the rest. So a few
+documents, or chance alone, move no verdict, and a document that breaks no rule only falls with a host that is nearly all
+bad. Only the numbers the priors need reach the driver. An empty table gives no rows.
 
 Repeated windows without a shuffle or a pair of all windows: a document's windows become 64-bit keys (33 bits of hash,
 31 of position), sorted as primitive longs; neighbours with equal hash bits are candidates, and only candidates are
@@ -21,6 +25,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.shared import SPACE, free_names, materialise, whole_text
 
 RULES = ("short", "repetitive", "symbols", "lines")
+#: Rules that reject no document by themselves, only where its host has a verdict against it.
+SOFT = RULES[2:]
+MAX_HOST_RATE, EXCESS = 0.8, 1.05
 #: White space as characters, for trim.
 _BLANK = " \t\n\x0b\x0c\r"
 _POSITION_BITS = 31
@@ -77,7 +84,7 @@ def with_counts(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         F.size(col(w)).cast("long").alias("n_words"),
         F.length(F.array_join(col(w), "")).cast("long").alias("word_chars"),
         (F.octet_length(col(t)) - F.octet_length(F.regexp_replace(col(t), "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        F.transform(lines, lambda x: x).alias("lines"),
+        lines.alias("lines"),
         F.when(F.size(col(z)) == 0, F.lit(0).cast("long")).otherwise(_covered(F.array_sort(F.transform(_beside(col(z), same_words), lambda x: x["p"])))).alias("n_repeat_words"),
     )
     out = out.withColumn(into, counts).drop(t, w, k, c, z)
@@ -110,8 +117,8 @@ def base_failed(c: Column) -> Column:
     return rules["short"] | rules["repetitive"]
 
 
-def host_verdicts(counted: DataFrame, host: Column, counts: str, max_host_rate: float) -> DataFrame:
-    """One row a host: ``host`` and ``host_rejected``.
+def host_verdicts(counted: DataFrame, host: Column, counts: str, max_host_rate: float, excess: float) -> DataFrame:
+    """One row a host: ``host``, ``host_rejected`` and ``against``, a struct of a verdict for each soft rule.
 
     A rule's prior has the pooled rate m as its mean; its strength is m(1-m)/v - 1, v being the variance of the hosts'
     rates beyond what chance gives, between 1 and 1000 (hosts that differ no more than by chance: 1000).
@@ -121,43 +128,52 @@ def host_verdicts(counted: DataFrame, host: Column, counts: str, max_host_rate:
     hosts = materialise(hosts, "hosts")
     totals = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *(F.sum(r).alias(r) for r in RULES)).first()
     if not totals["n"]:
-        return hosts.select("host", F.lit(False).alias("host_rejected"))
+        return hosts.select("host", F.lit(False).alias("host_rejected"), F.struct(*(F.lit(False).alias(r) for r in SOFT)).alias("against"))
     means = {r: totals[r] / totals["n"] for r in RULES}
     spread = hosts.agg(*(F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.lit(means[r]), F.lit(2.0))).alias(r) for r in RULES)).first()
-    rejected = F.lit(False)
+    shrunk = {}
     for r in RULES:
         chance = means[r] * (1 - means[r])
         beyond = (spread[r] - chance * (totals["hosts"] - 1)) / totals["n"]
         strength = min(1000.0, max(1.0, chance / beyond - 1)) if beyond > 0 else 1000.0
-        rejected = rejected | ((F.col(r) + F.lit(means[r] * strength)) / (F.col("n") + F.lit(strength)) > F.lit(max_host_rate))
-    return materialise(hosts.select("host", rejected.alias("host_rejected")), "host-verdicts")
+        shrunk[r] = (F.col(r) + F.lit(means[r] * strength)) / (F.col("n") + F.lit(strength))
+    rejected = F.greatest(*shrunk.values()) > F.lit(max_host_rate)
+    against = F.struct(*((shrunk[r] > F.lit(means[r] * excess)).alias(r) for r in SOFT))
+    return materialise(hosts.select("host", rejected.alias("host_rejected"), against.alias("against")), "host-verdicts")
 
 
-def _judged(counted: DataFrame, host: str, counts: str, max_host_rate: float, rejected: str) -> DataFrame:
-    verdicts = host_verdicts(counted, F.col(host), counts, max_host_rate).withColumnRenamed("host_rejected", rejected)
-    (own,) = free_names(counted.columns, "judged_host")
-    verdicts = verdicts.withColumnRenamed("host", own)
-    return counted.join(verdicts, F.col(host).eqNullSafe(F.col(own)), "left").drop(own)
+def _judged(counted: DataFrame, host: str, counts: str, max_host_rate: float, excess: float, into: str) -> DataFrame:
+    """``counted`` and a struct column ``into``: host_rejected and rule_rejected, the verdicts joined back."""
+    own, rejected, against = free_names([*counted.columns, into], "judged_host", "host_rejected", "against")
+    verdicts = host_verdicts(counted, F.col(host), counts, max_host_rate, excess).toDF(own, rejected, against)
+    rules = failures(F.col(counts))
+    by_rule = F.lit(False)
+    for r in SOFT:
+        by_rule = by_rule | (rules[r] & F.col(against)[r])
+    joined = counted.join(verdicts, F.col(host).eqNullSafe(F.col(own)), "left")
+    return joined.withColumn(into, F.struct(F.col(rejected).alias("host_rejected"), by_rule.alias("rule_rejected"))).drop(own, rejected, against)
 
 
-def quality_rules(docs: DataFrame, max_host_rate: float = 0.8) -> DataFrame:
-    """Every row of ``docs``: doc_id, the counts, base_failed, host_rejected, kept. Repeated rows are judged alike."""
+def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, excess: float = EXCESS) -> DataFrame:
+    """Every row of ``docs``: doc_id, the counts, base_failed, host_rejected, rule_rejected, kept. Repeated rows are judged alike."""
     narrow = docs.select("doc_id", "text", F.col("source").alias("host"))
     counted = materialise(with_counts(narrow, "counts").drop("text"), "rule-counts")
-    c = F.col("counts")
+    c, v = F.col("counts"), F.col("verdict")
     failed = base_failed(c)
-    return _judged(counted, "host", "counts", max_host_rate, "host_rejected").select(
+    return _judged(counted, "host", "counts", max_host_rate, excess, "verdict").select(
         "doc_id",
         *(c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         failed.alias("base_failed"),
-        "host_rejected",
-        (~failed & ~F.col("host_rejected")).alias("kept"),
+        v["host_rejected"].alias("host_rejected"),
+        v["rule_rejected"].alias("rule_rejected"),
+        (~failed & ~v["host_rejected"] & ~v["rule_rejected"]).alias("kept"),
     )
 
 
-def kept_documents(docs: DataFrame, max_host_rate: float = 0.8) -> DataFrame:
+def kept_documents(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, excess: float = EXCESS) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns (whatever their names) unchanged."""
-    counts, rejected = free_names(docs.columns, "rule_counts", "host_rejected")
+    counts, verdict = free_names(docs.columns, "rule_counts", "rule_verdict")
     counted = materialise(with_counts(docs, counts), "rule-documents")
-    judged = _judged(counted, "source", counts, max_host_rate, rejected)
-    return judged.where(~base_failed(F.col(counts)) & ~F.col(rejected)).select(*(F.col(f"`{n}`") for n in docs.columns))
+    judged = _judged(counted, "source", counts, max_host_rate, excess, verdict)
+    dropped = base_failed(F.col(counts)) | F.col(verdict)["host_rejected"] | F.col(verdict)["rule_rejected"]
+    return judged.where(~dropped).select(*(F.col(f"`{n}`") for n in docs.columns))

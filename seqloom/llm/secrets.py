@@ -3,12 +3,13 @@
 Kinds, in this order: ``assign`` (a name such as password or api_key, then : or =, then 12 or more characters),
 ``access`` (AKIA and 18 or more in all), ``hex`` (16 or more lower-case hex digits), and, found only with a valid
 checksum, ``github`` (gh[pousr]_, 30 base-62 characters and the CRC-32 of them in six base-62 digits), ``npm`` (npm_ in
-the same way) and ``age`` (AGE-SECRET-KEY-1 with its Bech32 checksum). Matches of a kind are leftmost and do not overlap.
+the same way), ``age`` (AGE-SECRET-KEY-1 with its Bech32 checksum) and ``card`` (a payment card's number: an issuer's
+prefix and length, plain or in groups of four, with its Luhn digit). Matches of a kind are leftmost and do not overlap.
 
 An Aho-Corasick automaton finds all keywords in one pass, and an expression is tried only at a hit. Runs of hex digits
 have no keyword; every eighth place of the text is looked up instead, and a run of 16 covers two such places in a row.
 Texts are scanned as one byte a code point (others than Latin-1 become ``?``, which no expression accepts), so places
-are code points. Null texts are empty and have no spans; repeated rows are scanned each. A row costs memory in
+are code points. Null texts are empty and have no spans; repeated rows are scanned each; an empty table gives no rows. A row costs memory in
 proportion to its own text only.
 """
 
@@ -23,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = ("assign", "access", "hex", "github", "npm", "age")
+KINDS = ("assign", "access", "hex", "github", "npm", "age", "card")
 BASE = KINDS[:3]
 #: Names before an assignment; prefixes of keys.
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 GITHUB = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 AGE = "AGE-SECRET-KEY-1"
+#: First digits of card numbers and how many digits those have.
+CARDS = {"4": (13, 16, 19), **dict.fromkeys(("51", "52", "53", "54", "55"), (16,)), "34": (15,), "37": (15,), "6011": (16,), "65": (16,)}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 _BECH32_STEPS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
@@ -38,16 +41,17 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
 _CRC_TOKEN = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _AGE = re.compile(rb"AGE-SECRET-KEY-1[QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{58}(?![0-9A-Z])")
+_CARD = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:\x20[0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])")
 _IS_HEX = np.zeros(256, dtype=bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_github long, n_npm long, n_age long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_github long, n_npm long, n_age long, n_card long"
 
 
 def automaton() -> ahocorasick.Automaton:
     """Of lower-cased keywords, each with its kind; the expressions then mind the case."""
     found = ahocorasick.Automaton()
-    for kind, words in (("assign", NAMES), ("access", ("AKIA",)), ("github", GITHUB), ("npm", ("npm_",)), ("age", (AGE,))):
+    for kind, words in (("assign", NAMES), ("access", ("AKIA",)), ("github", GITHUB), ("npm", ("npm_",)), ("age", (AGE,)), ("card", CARDS)):
         for word in words:
             found.add_word(word.lower(), (kind, len(word)))
     found.make_automaton()
@@ -77,6 +81,16 @@ def bech32_valid(text: str) -> bool:
     return min(values) >= 0 and check == 1
 
 
+def luhn_valid(digits: str) -> bool:
+    """Whether the last digit makes the sum of all, every second from the right doubled and cast out by nine, end in 0."""
+    doubled = sum(2 * int(d) - 9 * (d > "4") for d in digits[-2::-2])
+    return (doubled + sum(map(int, digits[::-2]))) % 10 == 0
+
+
+def _card(number: str) -> bool:
+    return any(number.startswith(first) and len(number) in lengths for first, lengths in CARDS.items()) and luhn_valid(number)
+
+
 def _hex_runs(flat: bytes) -> list[tuple[int, int]]:
     """Maximal runs of 16 or more hex digits."""
     probes = _IS_HEX[np.frombuffer(flat, dtype=np.uint8)[::8]]
@@ -100,10 +114,12 @@ def _valid(kind: str, match: re.Match) -> bool:
         return len(match[0]) >= 18
     if kind == "age":
         return bech32_valid(match[0].decode())
+    if kind == "card":
+        return _card(match[0].decode().replace(" ", "").replace("-", ""))
     return base62_crc(match[1]) == match[2]
 
 
-_PATTERNS = {"assign": _ASSIGN, "access": _ACCESS, "github": _CRC_TOKEN, "npm": _CRC_TOKEN, "age": _AGE}
+_PATTERNS = {"assign": _ASSIGN, "access": _ACCESS, "github": _CRC_TOKEN, "npm": _CRC_TOKEN, "age": _AGE, "card": _CARD}
 
 
 def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
@@ -137,9 +153,9 @@ def _scanned(batches):
             n = [sum(k == kind for _, _, k in spans) for kind in range(len(KINDS))]
             base = render([s for s in spans if s[2] < len(BASE)])
             rows.append((doc, *n[:3], hashlib.sha256(base.encode()).hexdigest(), render(spans), *n[3:]))
-        columns = list(zip(*rows, strict=True)) or [[]] * 9
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_github", "n_npm", "n_age"]
+        columns = list(zip(*rows, strict=True)) or [[]] * 10
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_github", "n_npm", "n_age", "n_card"]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
 

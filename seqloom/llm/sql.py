@@ -34,9 +34,12 @@ v AS (SELECT m.k, any_value(m.m) AS m,
         (sum(rules.n * pow(rules.f / rules.n - m.m, 2)) - any_value(m.m * (1 - m.m) * (m.h - 1))) / any_value(m.n) AS b
       FROM rules JOIN m ON rules.k = m.k GROUP BY m.k),
 prior AS (SELECT k, m, CASE WHEN b > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / b - 1)) ELSE 1000.0 END AS s FROM v),
-verdict AS (SELECT host, bool_or((f + m * s) / (n + s) > 0.8) AS host_rejected FROM rules JOIN prior ON rules.k = prior.k GROUP BY host)
+verdict AS (SELECT host, bool_or((f + m * s) / (n + s) > 0.8) AS host_rejected,
+        bool_or(rules.k = 3 AND (f + m * s) / (n + s) > m * 1.05) AS against3, bool_or(rules.k = 4 AND (f + m * s) / (n + s) > m * 1.05) AS against4
+      FROM rules JOIN prior ON rules.k = prior.k GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 + f2 > 0 AS base_failed, host_rejected,
-       f1 + f2 = 0 AND NOT host_rejected AS kept
+       f3 > 0 AND against3 OR f4 > 0 AND against4 AS rule_rejected,
+       f1 + f2 = 0 AND NOT host_rejected AND NOT (f3 > 0 AND against3 OR f4 > 0 AND against4) AS kept
 FROM f JOIN verdict ON f.host IS NOT DISTINCT FROM verdict.host
 """
 

@@ -12,7 +12,7 @@ first chunk (whose end may cut a word) and what follows in the second (whose sta
 p exists the overlap is doubled; once it is the whole chunk, the first chunk grows instead, up to the whole document.
 
 Shorter documents are encoded whole (:mod:`seqloom.llm.wordbpe`). Null texts count as empty: 0 bytes and
-tokens. Repeated rows are counted alike. One task holds one batch of texts, never a group.
+tokens. Repeated rows are counted alike; an empty table gives no rows. One task holds one batch of texts, never a group.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.wordbpe import WordBpe, marked
 
-HUGE, CHUNK, OVERLAP = 65_536, 16_384, 256
+HUGE, CHUNK, OVERLAP = 8192, 4096, 256
 _SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long"
 

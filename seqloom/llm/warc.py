@@ -4,14 +4,14 @@ An archive is two Parquet tables in the shared folder. ``payloads``: each distin
 ``headers``: the exact header block of each record with the SHA-256 of its payload. Of records with equal payloads of at
 least ``LEAST`` bytes the one with the largest page_id is the response and the others are revisits of it; smaller ones
 are all responses. A null html is an empty payload and a null page_id is less than any other. Repeated rows get a record
-each; of rows that share the largest page_id all are responses.
+each; of rows that share the largest page_id all are responses. An empty table gives an archive without records.
 
 "Verified": copies under one SHA-256 must agree in length and SHA-1 too when they are merged (else the write fails), and
 reading hashes the stored bytes again and compares both digests and the length with the header.
 
 Copies are merged by a pre-aggregated group-by, so a payload that a third of all rows share leaves each task once; the
-joins carry narrow header rows, or payloads only where whole records are asked for (:func:`records`, :func:`export`).
-:func:`parse` reads a plain WARC file back.
+first join carries narrow header rows, the second rebuilds whole records (:func:`records`), from which :func:`index` and
+:func:`export` work. :func:`parse` reads a plain WARC file back.
 """
 
 from __future__ import annotations
@@ -105,31 +105,43 @@ def _number(value: Column) -> Column:
     return F.regexp_extract(value, rf"^<{_PAGE_URN}(.*)>$", 1).try_cast("long")
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """A row a record, from the archive: page_id, payload_bytes, payload_digest, record_type, refers_to.
-
-    The payload's length and SHA-1 are computed again from the stored bytes, whose SHA-256 must be their key.
-    """
-    stored = spark.read.parquet(f"{path}/payloads")
-    sound = F.sha2("payload", 256) == F.col("sha256")
-    failed = F.raise_error(F.lit("a stored payload does not match its digest"))
-    verified = stored.select("sha256", F.when(sound, F.octet_length("payload").cast("long")).otherwise(failed.cast("long")).alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    joined = spark.read.parquet(f"{path}/headers").join(verified, "sha256")
-    agrees = (F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field("WARC-Payload-Digest")) & (F.col("payload_bytes").cast("string") == _field("X-Payload-Length"))
-    record_type = F.when(agrees, _field("WARC-Type")).otherwise(F.raise_error(F.lit("a header does not match its payload")).cast("string"))
-    return joined.select(
-        _number(_field("WARC-Record-ID")).alias("page_id"), "payload_bytes", "payload_digest", record_type.alias("record_type"), _number(_field("WARC-Refers-To")).alias("refers_to")
-    )
+def _verified(spark: SparkSession, path: str) -> DataFrame:
+    """sha256 and payload of what is stored, read again: bytes whose SHA-256 is not their key are an error."""
+    failed = F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary")
+    return spark.read.parquet(f"{path}/payloads").select("sha256", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(failed).alias("payload"))
 
 
 def records(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
     """header and block of each record; a revisit's block is empty unless ``full``, then it is the original payload."""
-    stored = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
-    joined = spark.read.parquet(f"{path}/headers").join(stored, "sha256")
+    joined = spark.read.parquet(f"{path}/headers").join(_verified(spark, path), "sha256")
     block = F.col("payload") if full else F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("header", block.alias("block"))
 
 
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """A row a record, from the rebuilt records: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Every record is put together from its header and the original payload. The header must be one block that begins with
+    the version, its Content-Length must be that of the record's own block (none for a revisit), and its payload digest
+    and length those of the bytes it was put together with; they are computed from these bytes.
+    """
+    rebuilt = records(spark, path, full=True)
+    length, digest = F.octet_length("block").cast("long"), F.sha1("block")
+    told = rebuilt.select("header", length.alias("payload_bytes"), digest.alias("payload_digest"))
+    shaped = F.col("header").startswith(VERSION + _CRLF) & (F.instr("header", _CRLF + _CRLF) == F.length("header") - 3)
+    own = F.when(_field("WARC-Type") == "revisit", F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
+    agrees = (
+        shaped
+        & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field("WARC-Payload-Digest"))
+        & (F.col("payload_bytes").cast("string") == _field("X-Payload-Length"))
+        & (own.cast("string") == _field("Content-Length"))
+    )
+    record_type = F.when(agrees, _field("WARC-Type")).otherwise(F.raise_error(F.lit("a header does not match its record")).cast("string"))
+    return told.select(
+        _number(_field("WARC-Record-ID")).alias("page_id"), "payload_bytes", "payload_digest", record_type.alias("record_type"), _number(_field("WARC-Refers-To")).alias("refers_to")
+    )
+
+
 def export(spark: SparkSession, path: str, target: str, records_a_file: int = 10_000) -> None:
     """Plain WARC files: headers, blocks and the two line ends after each, through Spark's own text writer."""
     text = records(spark, path).select(F.concat("header", F.decode("block", "UTF-8")).alias("value"))
@@ -152,6 +164,6 @@ def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write the archive of ``pages`` to the shared folder and read its index back."""
+    """Write the archive of ``pages`` to the shared folder, rebuild its records and read the columns off them."""
     spark = pages.sparkSession
     return index(spark, write_archive(pages, fresh_path(spark, "warc")))
