@@ -2,26 +2,33 @@
 
 The tree builder closes what HTML closes by itself (paragraphs before blocks, list items, cells, rows, options), adds rows
 and table bodies that are implied, and ignores end tags that match nothing. Hidden are head, scripts, styles, templates and
-the like, elements with ``hidden``, ``display:none`` or ``visibility:hidden`` (which a descendant may lift), hidden inputs,
-and what is closed in ``details`` and ``dialog``. All other text is emitted: runs of white space collapse outside ``pre``,
-blocks begin lines, blocks with margins are set off by one blank line, list items get ``- `` or their number and hang
-under it, and the cells of a table stand in aligned columns, two spaces apart (spans respected).
-
-Null or empty html gives an empty text. Parsing and rendering are iterative but for tables inside tables, which beyond
-``TABLES`` levels are laid out as plain blocks. Each page is handled alone, so memory follows the largest page.
+the like, elements with ``hidden``, ``display:none`` (the last declaration counts) or ``visibility:hidden`` (which a
+descendant may lift), hidden inputs, and what is closed in ``details`` and ``dialog``. All other text is emitted, that of
+``svg``, ``math`` and buttons too: runs of white space collapse outside ``pre``, blocks begin lines, blocks with margins are
+set off by one blank line, list items get ``- `` or their number and hang under it, and the cells of a table stand in
+aligned columns, two spaces apart (spans respected).
+
+Bounds of the layout; no text is ever dropped. A column reserves at most ``COLUMN`` places: a wider cell runs on and the
+next stands two spaces after it. At most ``PAD`` spaces go before a cell, so the output is in proportion to the page. A
+rowspan counts to the table's end, a span to ``SPAN``. Spans are kept as intervals, never as cells. Tables inside tables
+beyond ``TABLES`` levels are laid out as plain blocks; all else is iterative.
+
+Null or empty html gives an empty text; repeated rows are rendered each; an empty table gives no rows; other columns, whatever
+their names, are not read. Each page is handled alone, so memory follows the largest page.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas svg math datalist noembed noframes rp area param source track".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas datalist noembed noframes rp area param source track desc defs metadata annotation annotation-xml".split())
 #: Blocks that stand on lines of their own, and those with a blank line around them.
 BLOCKS = frozenset("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav optgroup option search section summary caption tr tbody thead tfoot".split())
 SPACED = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp listing".split())
@@ -45,6 +52,7 @@ _CLOSES = {
     "caption": ({"caption"}, {"table"}),
 }
 TABLES = 20
+COLUMN, PAD, SPAN = 80, 400, 1000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"
@@ -53,7 +61,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
 
 
 class Node:
@@ -211,19 +219,30 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
         return False, visible
     if "style" in a:
-        for name, value in _STYLE.findall(a["style"].lower()):
-            if name == "display" and value == "none":
-                return False, visible
-            if name == "visibility":
-                visible = value == "visible" or (visible and value not in ("hidden", "collapse"))
+        last: dict[str, tuple[bool, str]] = {}
+        for name, value, important in _STYLE.findall(a["style"].lower()):
+            if important or name not in last or not last[name][0]:
+                last[name] = (bool(important), value)
+        if last.get("display", (False, ""))[1] == "none":
+            return False, visible
+        if "visibility" in last:
+            value = last["visibility"][1]
+            visible = value == "visible" or (visible and value not in ("hidden", "collapse"))
     return True, visible
 
 
-def _number(value: str | None, default: int, most: int = 1000) -> int:
+def _number(value: str | None, default: int, most: int = SPAN) -> int:
     match = re.match(r"\s*([+-]?\d{1,9})", value or "")
     return min(int(match[1]), most) if match else default
 
 
+def _width(text: str) -> int:
+    """Places that a line takes: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def _rows(table: Node, visible: bool):
     """(captions, rows of (cell, visible)) of a table, in order; what stands between counts as captions."""
     captions, rows = [], []
@@ -254,37 +273,59 @@ def _rows(table: Node, visible: bool):
     return captions, rows
 
 
-def _table(rows, depth: int) -> list[str]:
-    """The lines of a grid of cells, in aligned columns."""
-    placed, taken = [], {}
+def _placed(rows):
+    """(row, first column, column beyond, cell, visible) of all cells.
+
+    ``held`` are the columns that cells of earlier rows still reach down to: (first, beyond, row beyond), by column.
+    """
+    out, held = [], []
     for r, cells in enumerate(rows):
-        c = 0
+        held = [h for h in held if h[2] > r]
+        c, k, new = 0, 0, []
         for cell, visible in cells:
-            while taken.get((r, c)):
-                c += 1
+            while k < len(held) and held[k][0] <= c:
+                c = max(c, held[k][1])
+                k += 1
             wide = max(1, _number(cell.attributes.get("colspan"), 1))
-            high = max(1, min(_number(cell.attributes.get("rowspan"), 1), len(rows) - r))
-            for i in range(high if wide * high > 1 else 0):
-                taken.update({(r + i, c + j): True for j in range(wide)})
-            placed.append((r, c, wide, render(cell, visible, depth + 1)))
+            down = _number(cell.attributes.get("rowspan"), 1, len(rows))
+            high = len(rows) - r if down == 0 else max(1, down)  # 0: to the end
+            out.append((r, c, c + wide, cell, visible))
+            if high > 1:
+                new.append((c, c + wide, r + high))
             c += wide
-    widths: dict[int, int] = {}
-    for _, c, wide, lines in sorted(placed, key=lambda p: p[2]):
-        have = sum(widths.get(c + j, 0) for j in range(wide)) + 2 * (wide - 1)
-        widths[c + wide - 1] = widths.get(c + wide - 1, 0) + max(0, max(map(len, lines), default=0) - have)
-    starts, at = {}, 0
-    for c in range(max((p[1] + p[2] for p in placed), default=0)):
-        starts[c] = at
-        at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
-    out = []
-    for r in range(len(rows)):
-        own = [p for p in placed if p[0] == r]
-        for k in range(max((len(p[3]) for p in own), default=0)):
-            line = ""
-            for _, c, _, lines in own:
-                if k < len(lines):
-                    line = line.ljust(starts[c]) + lines[k]
-            out.append(line.rstrip(" "))
+        if new:
+            held = sorted(held + new)
+    return out
+
+
+def _table(rows, depth: int) -> list[str]:
+    """The lines of a grid of cells, in aligned columns."""
+    placed = [(r, a, b, render(cell, visible, depth + 1)) for r, a, b, cell, visible in _placed(rows)]
+    # only columns at which a cell begins or ends matter; from left to right, each starts where all that end there allow
+    edges = sorted({e for _, a, b, _ in placed for e in (a, b)})
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for _, a, b, lines in placed:
+        width = min(max(map(_width, lines), default=0), COLUMN)
+        if width:
+            ending.setdefault(b, []).append((a, width + 2))
+    starts: dict[int, int] = {}
+    at = 0
+    for e in edges:
+        at = max([at, *(starts[a] + n for a, n in ending.get(e, ()))])
+        starts[e] = at
+    out: list[str] = []
+    own: list[list] = [[] for _ in rows]
+    for r, a, _, lines in placed:
+        own[r].append((starts[a], lines))
+    for cells in own:
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            parts, at = [], 0
+            for start, lines in cells:
+                if k < len(lines) and lines[k]:
+                    gap = min(max(start - at, 2 if at else 0), PAD)
+                    parts.append(" " * gap + lines[k])
+                    at += gap + _width(lines[k])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -315,6 +356,10 @@ def render(root: Node, visible: bool = True, depth: int = 0) -> list[str]:
         if tag == "br":
             out.end(True)
             continue
+        if tag == "input" and node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if seen:
+                out.text(node.attributes.get("value", ""), False)
+            continue
         if tag == "wbr":
             continue
         if tag == "details" and "open" not in node.attributes:
