@@ -65,3 +65,25 @@ def test_near_copies_are_exact(spark, sf_dir, monkeypatch, often):
     assert sorted(map(repr, (x["doc_id"] for x in left.collect()))) == sorted(map(repr, best.values()))
     assert 1 < len(best) < len(rows) - 20
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_blocks_lose_no_link(spark, sf_dir, monkeypatch):
+    """A star of near copies whose sets share all their keys, cut into many blocks."""
+    monkeypatch.setattr(near_copies._across, "__defaults__", (400, 7))
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for p in r.sample(range(100), r.choice((1, 2, 3, 4, 6))):
+            words[p] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    sets = [_shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    left = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in left.collect()) == sorted(set(label)) and 2 < len(set(label)) < 110
