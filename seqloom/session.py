@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,13 +100,27 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _own_path(spark: SparkSession, label: str) -> str:
+    path = fresh_path(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: losing executors later costs nothing that was done before.
     """
-    path = fresh_path(df.sparkSession, label)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    path = _own_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, materialised; what it materialised on the way is deleted."""
+    path = _own_path(spark, label)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
