@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import fresh_path, materialise, shared_dir
+from seqloom.session import fresh_path, materialise, settled, shared_dir
 
-__all__ = ["SPACE", "byte_texts", "documents", "free_names", "fresh_path", "materialise", "shared_dir", "whole_text"]
+__all__ = ["SPACE", "byte_texts", "documents", "free_names", "fresh_path", "materialise", "settled", "shared_dir", "whole_text"]
 
 #: The white space of every contract here, as the inside of a regular expression's character class.
 SPACE = r"\x20\x09-\x0D"

@@ -1,5 +1,6 @@
 """The operators on whole texts and sources: nothing of a text or a source is left out."""
 
+import os
 import random
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import mixing, near_copies
+from seqloom.session import shared_dir
 
 
 def _mixed(spark, rows, shard_docs):
@@ -87,3 +89,19 @@ def test_blocks_lose_no_link(spark, sf_dir, monkeypatch):
                 label = [a if x == b else x for x in label]
     left = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x["doc_id"] for x in left.collect()) == sorted(set(label)) and 2 < len(set(label)) < 110
+
+
+def test_rows_that_share_id_and_text_leave_one(spark):
+    """Repeated rows, with and without an id, extra columns with clashing names, and what was written on the way."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, words, "b", 1), (1, words, "a", 2), (1, words, "a", 2), (2, words + " x", "c", 3), (None, None, "d", 4), (None, "", "e", 5), (3, "alone", "f", 6), (9, "alone", "g", 7)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, own_th string, stay_copies int")
+    for frame in (docs, docs.repartition(5)):
+        before = set(os.listdir(shared_dir(spark)))
+        left = near_copies.one_of_each(frame)
+        made = {x.split("-")[1] for x in set(os.listdir(shared_dir(spark))) - before}
+        assert made == {"stay"} and left.columns == docs.columns
+        got = sorted(map(tuple, left.collect()), key=repr)
+        assert [g[0] for g in got] == [1, 3, None] and got[0] in rows[:3] and got[1] == rows[6]
+        first = got if frame is docs else first
+        assert got == first
