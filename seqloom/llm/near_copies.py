@@ -1,16 +1,19 @@
-"""Near copies by exact Jaccard similarity of 5-word shingles, at least 4/5: the pipeline's near-dedup stage.
+"""Near copies by SimHash and exact Jaccard similarity of 5-word shingles, at least 4/5: the pipeline's near-dedup stage.
 
 A text is lower-cased in A-Z, cut into words and 5-word shingles (fewer words: the whole sequence; none: no shingle), each
 as its XXH64; ``fp`` is the XXH64 of the sorted set. Texts with equal sets, and sets with at least 4/5 of their union in
 common, are linked, and a component is what links reach.
 
-Two such sets share a shingle among the first n - ceil(4n/5) + 1 of each, in any order that is the same for all; so those
-are the only keys that meet, and no pair is lost. The order puts shingles last that a sample of texts has often, which
-steers only the cost. All sets of a key are first compared with the least one. Where a key still has several components,
-its texts meet in one task, or in a task for each two blocks, by the numbers of their shingles in each of ``BUCKETS``,
-which bound what two can share. What may be similar is joined to groups over all keys, and the sets of a group meet in one
-task (those of a group over ``BLOCK`` in blocks, by group or by key), where an inverted list counts what a set has in common with all
-others at once. Edges that span groups leave a task, never pairs.
+The search is that of :mod:`seqloom.llm.simhash`: a SimHash of each set, linked at 2 bits or fewer through vantage-point trees; each
+set of such a group is held exactly against the least one. SimHash alone would lose links, as sets with 4/5 in common differ
+in about 10 bits, so what it leaves is searched by keys: two such sets share a shingle among the first n - ceil(4n/5) + 1
+of each, in any order that is the same for all; those are the only keys that meet, and no pair is lost. The order puts
+shingles last that a sample of texts has often, which steers only the cost. All sets of a key are first compared with the
+least one. Where a key still has several components, its texts meet in one task, or in a task for each two blocks, by the
+numbers of their shingles in about as many buckets as a set has shingles, which bound what two can share. What may be
+similar is joined to groups over all keys, and the sets of a group meet in one task (those of a group over ``BLOCK`` in
+blocks, by group or by key), where an inverted list counts what a set has in common with all others at once. Sets are read
+off the texts where they are sent from, and are never written. Edges that span groups leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm import simhash
 from seqloom.llm.components import spanning, stars
 from seqloom.llm.shared import byte_texts, free_names, materialise, settled
 
 SHINGLE = 5
 #: Texts whose shingles are counted for the order; a shingle that OFTEN of them have goes last, the HOT commonest at most.
 SAMPLE, OFTEN, HOT = 4096, 3, 1 << 16
-BUCKETS = 256
+#: Buckets that a set has at least; a larger one has the power of two at or below its size. A bucket counts to FULL.
+BUCKETS, FULL = 16, 15
 #: Shingles that a block of a key's sets holds: 8 MB, and a task has two.
 BLOCK = 1 << 20
-#: Texts that a block has where only the numbers by bucket meet: 8 MB.
-ROWS = 1 << 14
+#: Texts that a block has where only the numbers by bucket meet, and its shingles in units of a block: 4 MB.
+ROWS, SKETCHED = 1 << 14, 8
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -66,23 +71,60 @@ def _pieces(batches, rows: int = 256):
 
 def _sets(batches):
     for batch in _pieces(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("th"), _lists([shingles(t) for t in byte_texts(batch.column("text"))])], names=["th", "own"])
+        own = _lists([shingles(t) for t in byte_texts(batch.column("text"))])
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("to"), own], names=["fp", "to", "own"])
+
+
+def _counted(batches):
+    for batch in _pieces(batches):
+        yield pa.RecordBatch.from_arrays([_lists([shingles(t) for t in byte_texts(batch.column("text"))])], names=["own"])
 
 
 def bucket_counts(own: np.ndarray) -> bytes:
-    """Shingles by bucket; all at the most where one does not fit, which bounds nothing."""
-    counts = np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    return (counts if counts.max() < 0xFFFF else np.full(BUCKETS, 0xFFFF)).astype("<u2").tobytes()
+    """Shingles by bucket, 4 bits each: byte k has buckets k and k + half, so that its two numbers add up to half as many buckets."""
+    buckets = max(BUCKETS, 1 << (len(own).bit_length() - 1 if len(own) else 0))
+    counts = np.minimum(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), FULL).astype(np.uint8)
+    return (counts[: buckets // 2] | counts[buckets // 2 :] << 4).tobytes()
+
+
+class Sketches:
+    """The numbers by bucket of many sets, by how many buckets they have."""
+
+    def __init__(self, packed: list[bytes]):
+        self.width = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
+        self.at = np.empty(len(packed), dtype=np.int64)
+        self.fine, self.coarse, self.full = {}, {}, np.empty(len(packed), dtype=bool)
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == width)
+            both = np.frombuffer(b"".join([packed[k] for k in rows]), np.uint8).reshape(-1, width)
+            low, high = both & 15, both >> 4
+            self.at[rows] = np.arange(len(rows))
+            self.fine[width], self.coarse[width] = np.concatenate([low, high], axis=1), low + high
+            self.full[rows] = (self.fine[width] == FULL).any(axis=1)
+
+    def shared(self, q: int, others: np.ndarray) -> np.ndarray:
+        """What set q can share with each of ``others`` at most, whose sizes differ by less than a factor 2."""
+        out, own = np.empty(len(others), dtype=np.int64), int(self.width[q])
+        for width in np.unique(self.width[others]).tolist():
+            rows = np.flatnonzero(self.width[others] == width)
+            mine = (self.coarse if width < own else self.fine)[own][self.at[q]]
+            theirs = (self.coarse if width > own else self.fine)[width]
+            for k in range(0, len(rows), step := max(1, (1 << 22) // theirs.shape[1])):
+                part = rows[k : k + step]
+                out[part] = np.minimum(theirs[self.at[others[part]]], mine).sum(axis=1, dtype=np.int64)
+        out[self.full[others] | self.full[q]] = np.iinfo(np.int64).max // 16  # bounds nothing
+        return out
 
 
 def _possible(batches):
-    """Pairs that may have enough in common: 9 * common >= 4 * (n + m)."""
-    for batch in batches:
-        x, y = (np.array([np.frombuffer(b, "<u2") for b in batch.column(c).to_pylist()], dtype=np.int64).reshape(-1, BUCKETS) for c in ("x", "y"))
+    """Pairs of sizes that allow it which may have enough in common: 9 * common >= 4 * (n + m)."""
+    for batch in _pieces(batches, 1024):
         n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-        open_ended = (x == 0xFFFF).any(axis=1) | (y == 0xFFFF).any(axis=1)
-        keep = open_ended | (9 * np.minimum(x, y).sum(axis=1) >= 4 * (n + m))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+        count = batch.num_rows
+        sketches = Sketches(batch.column("x").to_pylist() + batch.column("y").to_pylist())
+        both = np.array([sketches.shared(k, np.array([count + k]))[0] for k in range(count)], dtype=np.int64)
+        keep = pa.array(9 * both >= 4 * (n + m))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "m")], names=["a", "b", "m"])
 
 
 def _signer(hot: np.ndarray):
@@ -90,8 +132,9 @@ def _signer(hot: np.ndarray):
         for batch in _pieces(batches):
             own = [shingles(t) for t in byte_texts(batch.column("text"))]
             fp = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in own), dtype=np.uint64, count=len(own)).view(np.int64)
-            columns = [batch.column("id"), batch.column("th"), pa.array(fp), pa.array([len(s) for s in own], pa.int64()), _lists([first_of(s, hot) for s in own]), pa.array(map(bucket_counts, own), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "fp", "n", "first", "counts"])
+            bits = np.fromiter(map(simhash.of_hashes, own), dtype=np.uint64, count=len(own)).view(np.int64)
+            columns = [batch.column("id"), batch.column("th"), pa.array(fp), pa.array(bits), pa.array([len(s) for s in own], pa.int64()), _lists([first_of(s, hot) for s in own]), pa.array(map(bucket_counts, own), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "fp", "bits", "n", "first", "counts"])
 
     return signed
 
@@ -104,17 +147,26 @@ def _hot(docs: DataFrame) -> np.ndarray:
     texts, n = docs.select(_text_hash().alias("th"), "text"), docs.count()
     if n > SAMPLE:
         texts = texts.where(F.pmod("th", F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    counted = texts.mapInArrow(_sets, "th long, own array<long>").select(F.explode("own").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    counted = texts.select("text").mapInArrow(_counted, "own array<long>").select(F.explode("own").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     rows = counted.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "x").limit(HOT).select("x").collect()
     return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _sets_of(fps: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """fp and own, its set, for each of ``fps``."""
-    wanted = fps.distinct().join(texts, "fp").select("fp", "th")
+def _sent(routes: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``routes`` (fp, and longs that name where its set goes) with own, the set of fp, for each distinct row.
+
+    A set is worked out once, where its text is read, and dealt from there. A text of ``docs`` that is repeated together
+    with its id gives its rows again.
+    """
+    places = [c for c in routes.columns if c != "fp"]
+    wanted = routes.groupBy("fp").agg(F.collect_set(F.struct(*(F.col(c).cast("long").alias(c) for c in places))).alias("to"))
+    wanted = wanted.join(texts.select("fp", "one.*"), "fp")
     wanted = materialise(wanted, "wanted")  # its size is then known: few are sent to the texts rather than all texts dealt
-    read = docs.select(_text_hash().alias("th"), "text").join(wanted.select("th"), "th", "left_semi").mapInArrow(_sets, "th long, own array<long>")
-    return materialise(read.join(wanted, "th").groupBy("fp").agg(F.first("own").alias("own")), "sets")
+    read = docs.select(_text_hash().alias("th"), F.col("doc_id").cast("long").alias("own_id"), "text")
+    read = read.join(wanted, (read["th"] == wanted["th"]) & read["own_id"].eqNullSafe(wanted["id"])).select("fp", "to", "text")
+    kind = ", ".join(f"{c}: bigint" for c in places)
+    sets = read.mapInArrow(_sets, f"fp long, to array<struct<{kind}>>, own array<long>")
+    return sets.select("fp", F.explode("to").alias("to"), "own").select("to.*", "fp", "own")
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -150,17 +202,28 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(u), pa.array(v)], schema=_EDGE)
 
 
+def _with_least(table: pa.Table) -> pa.Table:
+    """Edges to the set named a from those that are similar to it."""
+    a, fp = table.column("a")[0].as_py(), table.column("fp").to_numpy()
+    own = table.column("own").combine_chunks()
+    flat, offsets = own.values.to_numpy(), own.offsets.to_numpy()
+    begins, sizes = offsets[:-1], np.diff(offsets)
+    least = np.flatnonzero(fp == a)[0]
+    hits = np.concatenate([[0], np.cumsum(np.isin(flat, flat[begins[least] : begins[least] + sizes[least]]))])
+    both = hits[offsets[1:]] - hits[begins]
+    near = np.unique(fp[(fp != a) & (5 * both >= 4 * (sizes + sizes[least] - both))])
+    return pa.table([pa.array(near), pa.array(np.full(len(near), a))], schema=_EDGE)
+
+
 def _hopeful(table: pa.Table) -> pa.Table:
     """Edges that span the texts of different roots that may be similar, by sizes and bucket counts."""
     roots, n, fp = (table.column(c).to_numpy() for c in ("root", "n", "fp"))
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BUCKETS)
-    full = (counts == 0xFFFF).any(axis=1)
+    sketches = Sketches(table.column("counts").to_pylist())
     _, comp = np.unique(roots, return_inverse=True)
     label = np.arange(len(fp))
     for q in np.flatnonzero(comp != np.bincount(comp).argmax()):
         near = np.flatnonzero((comp != comp[q]) & (5 * np.minimum(n, n[q]) >= 4 * np.maximum(n, n[q])))
-        both = np.minimum(counts[near], counts[q]).sum(axis=1, dtype=np.int64)
-        near = near[(9 * both >= 4 * (n[near] + n[q])) | full[near] | full[q]]
+        near = near[9 * sketches.shared(q, near) >= 4 * (n[near] + n[q])]
         joined = np.unique(label[np.append(near, q)])
         if len(joined) > 1:
             label[np.isin(label, joined)] = joined[0]
@@ -192,14 +255,14 @@ def _across(rooted: DataFrame, docs: DataFrame, texts: DataFrame, block: int = B
     whichever moves fewer shingles.
     """
     members = materialise(rooted.join(_open(rooted), "key"), "members")
-    counted = _in_blocks(members.select("key", "fp", "n", "root", "members"), F.floor(F.col("members") / F.lit(rows)) + 1)
+    blocks = F.floor(F.greatest(F.col("members") / F.lit(rows), F.col("held") / F.lit(SKETCHED * block))) + 1
+    counted = _in_blocks(members.select("key", "fp", "n", "root", blocks.alias("blocks")), F.col("blocks"))
     counted = counted.join(texts.select("fp", "counts"), "fp").select("key", "low", "high", "fp", "n", "root", "counts")
     reach = stars(counted.groupBy("key", "low", "high").applyInArrow(_hopeful, "u long, v long"))
     named = reach.select(F.col("u").alias("fp"), F.col("v").alias("team")).unionAll(reach.select(F.col("v").alias("fp"), F.col("v").alias("team")).distinct())
     teams = materialise(members.select("fp", "n", "root").distinct().join(named, "fp"), "teams")
     teams = teams.join(teams.groupBy("team").agg(F.sum("n").alias("held")), "team")
-    sets = _sets_of(teams.select("fp"), docs, texts)
-    small = teams.where(F.col("held") <= block).join(sets, "fp").select("team", "root", "own")
+    small = _sent(teams.where(F.col("held") <= block).select("fp", "team", "root"), docs, texts).drop("fp")
     edges = small.groupBy("team").applyInArrow(_linked, "u long, v long")
     large = materialise(members.select("key", "fp", "n", "root").join(teams.where(F.col("held") > block).select("fp", "team", "held"), "fp"), "large")
     if large.isEmpty():
@@ -213,37 +276,50 @@ def _across(rooted: DataFrame, docs: DataFrame, texts: DataFrame, block: int = B
     left = materialise(left.join(_open(left), "key"), "members").select("key", "fp", "root", "held")
     blocks = F.floor(F.col("held") / F.lit(block)) + 1
     for part in (whole, left):
-        held = _in_blocks(part, blocks).join(sets, "fp").select("key", "low", "high", "root", "own")
+        held = _sent(_in_blocks(part, blocks).select("fp", "key", "low", "high", "root"), docs, texts).drop("fp")
         edges = edges.unionAll(held.groupBy("key", "low", "high").applyInArrow(_linked, "u long, v long"))
     return edges
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: fp) whose sets have at least 4/5 of their union in common, as u, v."""
+def _similar(pairs: DataFrame, docs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Those of ``pairs`` (a, b: fp, of sizes that allow it) whose sets have at least 4/5 of their union in common, as u, v.
+
+    Sets that are compared with one a meet it in one task, or in more by their hash where they are over ``block``.
+    """
     sides = [texts.select(F.col("fp").alias(k), F.col("n").alias(n), F.col("counts").alias(x)) for k, n, x in (("a", "n", "x"), ("b", "m", "y"))]
-    pairs = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible, "a long, b long")
+    pairs = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible, "a long, b long, m long")
     pairs = materialise(pairs, "pairs")
-    sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))), docs, texts)
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return materialise(joined.where(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    parts = pairs.groupBy("a").agg((F.floor(F.sum("m") / F.lit(block)) + 1).alias("parts"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("fp"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    least = parts.select(F.col("a").alias("fp"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = _sent(members.unionAll(least), docs, texts)
+    return materialise(dealt.groupBy("a", "part").applyInArrow(_with_least, "u long, v long"), "similar")
 
 
 def _alike(n: str, m: str) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _by_simhash(texts: DataFrame) -> DataFrame:
+    """a, b: the least set of each SimHash group, and those of the group whose sizes allow what is asked for."""
+    near = stars(simhash.links(texts.select(F.col("bits").alias("fp")).distinct()))
+    group = texts.select("fp", "n", "bits").join(near.select(F.col("u").alias("bits"), F.col("v").alias("group")), "bits", "left")
+    group = materialise(group.select("fp", "n", F.coalesce("group", "bits").alias("group")), "simhash")
+    least = group.groupBy("group").agg(F.min(F.struct("fp", "n")).alias("least"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    least = least.select("group", F.col("least.fp").alias("a"), F.col("least.n").alias("m"))
+    return group.join(least, "group").where("fp <> a").where(_alike("n", "m")).select("a", F.col("fp").alias("b"))
+
+
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: each fp that is not the least of its component, and that least one."""
-    texts = signed.groupBy("fp").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.first("counts").alias("counts"))
+    texts = signed.groupBy("fp").agg(F.min(F.struct("th", "id")).alias("one"), *(F.first(c).alias(c) for c in ("n", "bits", "counts")))
     texts = materialise(texts, "texts")
-    sizes = texts.select("fp", "n")
     key = Window.partitionBy("key")
-    keys = signed.select("fp", F.explode("first").alias("key")).withColumns({"least": F.min("fp").over(key), "most": F.max("fp").over(key)})
-    shared = materialise(keys.where("least <> most").select("key", "fp", "least").distinct(), "keys")
-    shared = shared.join(sizes, "fp").join(sizes.select(F.col("fp").alias("least"), F.col("n").alias("m")), "least")
-    shared = materialise(shared, "shared")
-    edges = _similar(shared.where("fp <> least").where(_alike("n", "m")).select(F.col("least").alias("a"), F.col("fp").alias("b")), docs, texts)
+    keys = signed.select("fp", "n", F.explode("first").alias("key")).withColumns({"least": F.min(F.struct("fp", "n")).over(key), "most": F.max("fp").over(key)})
+    shared = keys.where("least.fp <> most").select("key", "fp", "n", F.col("least.fp").alias("least"), F.col("least.n").alias("m")).distinct()
+    shared = materialise(shared, "keys")
+    by_key = shared.where("fp <> least").where(_alike("n", "m")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    edges = _similar(_by_simhash(texts).unionAll(by_key), docs, texts)
     rooted = shared.join(stars(edges).select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     rooted = materialise(rooted.select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "key-roots")
     return stars(edges.unionAll(_across(rooted, docs, texts)))
@@ -252,7 +328,7 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 def _staying(docs: DataFrame) -> DataFrame:
     """id, th, copies: the row that stays of each component, and how many rows have its id and text."""
     given = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("th"), "text")
-    signed = given.mapInArrow(_signer(_hot(docs)), "id long, th long, fp long, n long, first array<long>, counts binary")
+    signed = given.mapInArrow(_signer(_hot(docs)), "id long, th long, fp long, bits long, n long, first array<long>, counts binary")
     signed = materialise(signed, "signed")
     roots = links(signed, docs).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "th", "copies")

@@ -54,10 +54,15 @@ def fingerprint(text: bytes) -> int:
     hashed = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)
     hashes = np.fromiter((hashed(flat[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n)
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``; zero where there are none."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(column: str = "text"):

@@ -4,12 +4,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import mixing, near_copies
-from seqloom.session import shared_dir
+from seqloom.llm import mixing, near_copies, simhash
+from seqloom.session import materialise, shared_dir
 
 
 def _mixed(spark, rows, shard_docs):
@@ -105,3 +106,21 @@ def test_rows_that_share_id_and_text_leave_one(spark):
         assert [g[0] for g in got] == [1, 3, None] and got[0] in rows[:3] and got[1] == rows[6]
         first = got if frame is docs else first
         assert got == first
+
+
+def test_simhash_groups_are_linked_without_keys(spark):
+    """The vantage-point search finds near copies by itself; each is held against the exact similarity."""
+    r = random.Random(8)
+    rows = []
+    for k in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "more"])), (3 * k + 2, " ".join(words[:200]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = docs.select(F.col("doc_id").alias("id"), near_copies._text_hash().alias("th"), "text")
+    signed = given.mapInArrow(near_copies._signer(np.empty(0, np.uint64)), "id long, th long, fp long, bits long, n long, first array<long>, counts binary")
+    signed = materialise(signed.withColumn("first", F.expr("filter(first, x -> false)")), "signed")
+    of = {x["fp"]: x["id"] for x in signed.select("fp", "id").collect()}
+    got = {tuple(sorted((of[x["u"]], of[x["v"]]))) for x in near_copies.links(signed, docs).collect()}
+    bits = {k: simhash.of_hashes(near_copies.shingles(t.encode())) for k, t in rows}
+    want = {(k, k + 1) for k in range(0, 90, 3) if (bits[k] ^ bits[k + 1]).bit_count() <= 2}
+    assert got == want and len(want) > 20
