@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import simhash
 from seqloom.llm.components import spanning, stars
-from seqloom.llm.shared import byte_texts, free_names, materialise, settled
+from seqloom.llm.shared import byte_texts, materialise, settled
 
 SHINGLE = 5
 #: Texts whose shingles are counted for the order; a shingle that OFTEN of them have goes last, the HOT commonest at most.
@@ -35,6 +35,8 @@ SAMPLE, OFTEN, HOT = 4096, 3, 1 << 16
 BUCKETS, FULL = 16, 15
 #: Shingles that a block of a key's sets holds: 8 MB, and a task has two.
 BLOCK = 1 << 20
+#: Bits, by hash, that tell in the task that reads a text whether it may be asked for.
+BITS = 1 << 23
 #: Texts that a block has where only the numbers by bucket meet, and its shingles in units of a block: 4 MB.
 ROWS, SKETCHED = 1 << 14, 8
 
@@ -152,6 +154,24 @@ def _hot(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
+def _word() -> Column:
+    return F.expr(f"shiftright(th & {BITS - 1}L, 6)")
+
+
+def _bit() -> Column:
+    return F.expr("shiftleft(1L, cast(th & 63L as int))")
+
+
+def _marked(hashed: DataFrame, marks: DataFrame) -> DataFrame:
+    """``hashed`` (th and more) with a boolean ``marked``: true wherever th is one of ``marks`` (th), and by chance elsewhere.
+
+    A bitmap of BITS bits, 2 MB at most however many marks there are, tells it in the task that reads a row.
+    """
+    words = marks.groupBy(_word().alias("word")).agg(F.bit_or(_bit()).alias("mask"))
+    told = hashed.withColumn("at_word", _word()).join(F.broadcast(words), F.col("at_word") == F.col("word"), "left")
+    return told.withColumn("marked", F.coalesce(F.col("mask").bitwiseAND(_bit()) != 0, F.lit(False))).drop("at_word", "word", "mask")
+
+
 def _sent(routes: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``routes`` (fp, and longs that name where its set goes) with own, the set of fp, for each distinct row.
 
@@ -163,6 +183,7 @@ def _sent(routes: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = wanted.join(texts.select("fp", "one.*"), "fp")
     wanted = materialise(wanted, "wanted")  # its size is then known: few are sent to the texts rather than all texts dealt
     read = docs.select(_text_hash().alias("th"), F.col("doc_id").cast("long").alias("own_id"), "text")
+    read = _marked(read, wanted.select("th")).where("marked")  # so that other texts are not dealt
     read = read.join(wanted, (read["th"] == wanted["th"]) & read["own_id"].eqNullSafe(wanted["id"])).select("fp", "to", "text")
     kind = ", ".join(f"{c}: bigint" for c in places)
     sets = read.mapInArrow(_sets, f"fp long, to array<struct<{kind}>>, own array<long>")
@@ -326,32 +347,31 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _staying(docs: DataFrame) -> DataFrame:
-    """id, th, copies: the row that stays of each component, and how many rows have its id and text."""
+    """id, th, copies, stays: each id and text, how many rows have them, and whether its row stays of its component."""
     given = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("th"), "text")
     signed = given.mapInArrow(_signer(_hot(docs)), "id long, th long, fp long, bits long, n long, first array<long>, counts binary")
     signed = materialise(signed, "signed")
     roots = links(signed, docs).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "th", "copies")
-    ranked = signed.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("copies")).groupBy("fp").agg(F.min(rank).alias("best"))
-    return ranked.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.id", "best.th", "best.copies")
+    each = signed.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("copies")).join(roots, "fp", "left")
+    each = materialise(each.select(F.coalesce("root", "fp").alias("root"), "id", "th", "copies"), "each")
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("best"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("th") == F.col("best.th"))
+    return each.join(best, "root").select("id", "th", "copies", stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each component (one row, also where ids repeat or are null).
 
-    Decided on ids and hashes, which alone are reduced; whole rows are then taken by a join, and only rows that share
-    both id and text are reduced to one of them, the same in each run. The columns of ``docs``, whatever their names,
-    are unchanged.
+    Decided on ids and hashes, which alone are reduced. Rows whose text no row that goes, and no repeated one, may have
+    are then taken where they are read; the others are looked up by a join, and only rows that share both id and text
+    are reduced to one of them, the same in each run. The columns of ``docs``, whatever their names, are unchanged.
     """
-    spark = docs.sparkSession
-    stay = settled(spark, lambda: _staying(docs), "stay")
-    own, th, row, id_, th_, copies = free_names(docs.columns, "own_id", "own_th", "row", "stay_id", "stay_th", "stay_copies")
-    stay = stay.toDF(id_, th_, copies)
+    each = settled(docs.sparkSession, lambda: _staying(docs), "stay")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), th: _text_hash()})
-    same = (F.col(th) == F.col(th_)) & F.col(own).eqNullSafe(F.col(id_))
-    alone = keyed.join(stay.where(F.col(copies) == 1), same).select(*columns)
     order = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
-    repeated = keyed.join(stay.where(F.col(copies) > 1), same).select(own, th, order.alias(copies), F.struct(*columns).alias(row))
-    one = repeated.groupBy(own, th).agg(F.min_by(row, copies).alias(row)).select(f"{row}.*")
-    return alone.unionAll(one)
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), _text_hash().alias("th"), order.alias("order"), F.struct(*columns).alias("row"))
+    rows = _marked(rows, each.where("not stays or copies > 1").select("th"))
+    stay = each.where("stays").select(F.col("id"), F.col("th").alias("stay_th"), "copies")
+    found = rows.where("marked").join(stay, (F.col("th") == F.col("stay_th")) & F.col("own").eqNullSafe(F.col("id")))
+    one = found.where("copies > 1").groupBy("own", "th").agg(F.min_by("row", "order").alias("row"))
+    return rows.where("not marked").select("row.*").unionAll(found.where("copies = 1").select("row.*")).unionAll(one.select("row.*"))

@@ -124,3 +124,26 @@ def test_simhash_groups_are_linked_without_keys(spark):
     bits = {k: simhash.of_hashes(near_copies.shingles(t.encode())) for k, t in rows}
     want = {(k, k + 1) for k in range(0, 90, 3) if (bits[k] ^ bits[k + 1]).bit_count() <= 2}
     assert got == want and len(want) > 20
+
+
+def test_buckets_bound_what_sets_share():
+    """Never less than two sets share, and for long texts with one passage in common too little to be compared."""
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 64, size=20_000, dtype=np.uint64)
+    sets = [np.unique(r.choice(pool[: 2 * n], n, replace=False)) for n in (1, 5, 16, 31, 32, 38, 300, 310, 500, 540, 5000, 5200)]
+    sets += [np.unique(np.concatenate([pool[:500], r.integers(0, 1 << 64, size=4500, dtype=np.uint64)])) for _ in range(3)]
+    sets.append((np.arange(40, dtype=np.uint64) << np.uint64(32)) + np.uint64(7))  # one bucket has all
+    sketches = near_copies.Sketches([near_copies.bucket_counts(s) for s in sets])
+    for q, own in enumerate(sets):
+        others = np.array([k for k, s in enumerate(sets) if 5 * min(len(s), len(own)) >= 4 * max(len(s), len(own))])
+        most = sketches.shared(q, others)
+        assert all(x >= len(np.intersect1d(own, sets[k])) for k, x in zip(others, most, strict=True))
+        assert q not in (12, 13, 14) or all(9 * x < 8 * 4900 for k, x in zip(others, most, strict=True) if k != q)
+
+
+def test_marks_miss_none(spark):
+    """The bitmap that keeps other texts where they are tells of every text that is asked for."""
+    hashed = spark.range(40_000).select(F.xxhash64("id").alias("th"), "id")
+    marked = near_copies._marked(hashed, hashed.where("id % 40 = 0").select("th"))
+    got = {x["id"]: x["marked"] for x in marked.collect()}
+    assert len(got) == 40_000 and all(got[k] for k in range(0, 40_000, 40)) and sum(got.values()) < 1100
