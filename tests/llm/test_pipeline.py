@@ -97,3 +97,14 @@ def test_nothing_is_left_behind(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
     assert {x.split("-")[1] for x in left} == {"pieces"} and out.count() > 0
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for given, want in (("10000", "1024"), ("0", "1024"), ("50", "50")):
+            spark.conf.set(name, given)
+            corpus_pipeline.exact(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.unset(name)
