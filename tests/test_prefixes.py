@@ -7,7 +7,7 @@ import pytest
 
 from seqloom.operators import collapse
 
-QUERIES = ("branch_lengths",)
+QUERIES = ("branch_lengths", "prefix_stats")
 
 
 def _built(own):
