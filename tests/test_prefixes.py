@@ -7,7 +7,7 @@ import pytest
 
 from seqloom.operators import collapse
 
-QUERIES = ("branch_lengths", "prefix_stats")
+QUERIES = ("branch_lengths", "prefix_stats", "read_nodes")
 
 
 def _built(own):
